@@ -106,7 +106,7 @@ class Mix:
         )
         last = stage(last, "mix-last")
         sizes = self.documents.groupBy("mix_source", "mix_bucket", "mix_size").agg(F.min("mix_key").alias("low"), F.max("mix_key").alias("mix_key"))
-        beyond = sizes.join(last, "mix_source").where((F.col("mix_bucket") > F.col("cut_bucket")) | (F.col("mix_key") > F.col("last_key")))
+        beyond = sizes.join(last, "mix_source").where((F.col("mix_bucket") > F.col("cut_bucket")) | ((F.col("mix_bucket") == F.col("cut_bucket")) & (F.col("mix_key") > F.col("last_key"))))
         beyond = stage(beyond.where((F.col("mix_size") > 0) & (F.col("mix_size") < 2 * F.col("left_over"))).select("mix_source", "mix_size", "mix_key"), "mix-beyond")
         last = last.withColumn("fit_keys", F.array().cast("array<double>"))
         for _ in range(self.fits):
