@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import table
+from tideline.llm.common import shared_path, table
+from tideline.llm.fingerprints import compare_with_edits
+from tideline.llm.html_text import extract_text, learn_model, training_pages
+from tideline.llm.langid import held_out, learn_profiles, predict_languages
 from tideline.llm.mixing import Mix
+from tideline.llm.packing import pack_documents
+from tideline.llm.quality import judge_quality
 from tideline.llm.sharding import shard_documents
+from tideline.llm.token_store import read_store, write_store
 from tideline.llm.url_rules import filter_urls
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"), learn_model(training_pages(spark)))
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents"), path, word_tokenizer())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), sums], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return read_store(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -21,13 +51,31 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).decisions()
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), with_text=False).drop("clean_text")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_documents(table(spark, sf_dir, "documents"))
     law = F.lit("bytes").alias("law")
     return rows.select("doc_id", "size", "text_crc32", law, "shard", F.col("position").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, learn_profiles(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_url_rules, op4_mixing, op7_sharding)
+    f.__name__: f
+    for f in (op1_html_text, op2_token_store, op3_url_rules, op4_mixing, op5_fingerprints, op6_quality, op7_sharding, op8_langid, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
