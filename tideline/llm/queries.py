@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import shared_path, table
 from tideline.llm.fingerprints import compare_with_edits
 from tideline.llm.html_text import extract_text, learn_model, training_pages
+from tideline.llm.jaccard_join import jaccard_components
 from tideline.llm.langid import held_out, learn_profiles, predict_languages
 from tideline.llm.mixing import Mix
 from tideline.llm.packing import pack_documents
@@ -70,12 +71,16 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs, learn_profiles(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_token_store, op3_url_rules, op4_mixing, op5_fingerprints, op6_quality, op7_sharding, op8_langid, op10_packing)
+    for f in (op1_html_text, op2_token_store, op3_url_rules, op4_mixing, op5_fingerprints, op6_quality, op7_sharding, op8_langid, op9_jaccard_join, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
