@@ -1,6 +1,72 @@
-STAGES: list = []
+"""A corpus pipeline of five operators: language, quality, near duplicates, mixing, packing.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
+Parquet to the shared folder and reads again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.llm.common import stage, table
+from tideline.llm.jaccard_join import jaccard_components
+from tideline.llm.langid import UNKNOWN, learn_profiles, predict_languages
+from tideline.llm.mixing import mixed_documents
+from tideline.llm.packing import pack_documents
+from tideline.llm.quality import judge_quality
+from tideline.llm.queries import word_tokenizer
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document this far from every learned profile is in none of the languages.
+MIN_LANGUAGE_SCORE = 0.2
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; a missing lang is filled in by the prediction. Profiles come from docs' own labels."""
+    judged = predict_languages(docs, learn_profiles(docs), COLUMNS)
+    kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def keep_clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without the lines that fail."""
+    kept = judge_quality(docs, ("doc_id", "lang", "source")).where("kept")
+    return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the least id, of equal ids the first in the table."""
+    numbered = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    found = stage(jaccard_components(docs), "near-duplicates")
+    linked = found.where("n_shingles > 0")
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("first"))
+    keep = first.select("first.row").unionByName(found.where("n_shingles = 0").select("row"))
+    return numbered.join(keep, "row", "left_semi").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixed_documents(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, word_tokenizer())
+
+
+STAGES = [
+    ("language", keep_known_languages),
+    ("quality", keep_clean_documents),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: No SQL has language profiles, sampling keys by logarithm and a tokenizer; the stages are tested one by one.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
