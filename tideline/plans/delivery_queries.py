@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.images import value_of
@@ -88,13 +88,18 @@ def cursor_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ADVANCE_SQL = over_log("SELECT sink_id, source, last_seq + CASE WHEN sink_id = 'table' THEN 50 ELSE 0 END AS last_seq FROM cu")
 
-#: A constraint that the example table sink refuses.
-REFUSED = F.coalesce(F.col("cents") % 97 == 0, F.lit(False)) & (F.col("op") != "d")
+
+
+def refused() -> Column:
+    """A constraint that the example table sink refuses."""
+    return F.coalesce(F.col("cents") % 97 == 0, F.lit(False)) & (F.col("op") != "d")
+
+
 REFUSED_SQL = "(op <> 'd' AND coalesce(cents % 97 = 0, false))"
 
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dispatch.dead_letters(change_log(spark, sf_dir), REFUSED).withColumn("attempts", F.col("attempts").cast("long"))
+    return dispatch.dead_letters(change_log(spark, sf_dir), refused()).withColumn("attempts", F.col("attempts").cast("long"))
 
 
 LETTERS = f"""(SELECT source, seq, key, cents, op, CASE WHEN {REFUSED_SQL} THEN 'refused' ELSE 'behind a refused change' END AS error
@@ -105,8 +110,8 @@ LETTER_SQL = over_log(f"SELECT source, seq, key, error, CAST(1 AS BIGINT) AS att
 def blocked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes delivered and held back while earlier letters (of the first third of the log) are open."""
     log = change_log(spark, sf_dir)
-    early = dispatch.blocked_keys(dispatch.dead_letters(log.where("seq % 3 = 0"), REFUSED))
-    rows = dispatch.parked(log.where("seq % 3 <> 0"), REFUSED, early)
+    early = dispatch.blocked_keys(dispatch.dead_letters(log.where("seq % 3 = 0"), refused()))
+    rows = dispatch.parked(log.where("seq % 3 <> 0"), refused(), early)
     return rows.groupBy("key").agg(F.count_if("parked").alias("parked"), F.count_if(~F.col("parked")).alias("applied"))
 
 
@@ -118,8 +123,8 @@ BLOCKED_SQL = over_log(f"""SELECT key, count(*) FILTER (seq >= f OR b) AS parked
 def dlq_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters tried again after the constraint was relaxed to every second of its cases."""
     log = change_log(spark, sf_dir)
-    letters = dispatch.parked(log, REFUSED).where("parked").withColumn("attempts", F.lit(1))
-    retried = dispatch.retry_letters(letters, REFUSED & (F.col("cents") % 2 == 0))
+    letters = dispatch.parked(log, refused()).where("parked").withColumn("attempts", F.lit(1))
+    retried = dispatch.retry_letters(letters, refused() & (F.col("cents") % 2 == 0))
     after = dispatch.after_retry(letters, retried, 1_000)
     return after.groupBy("key").agg(F.count(F.lit(1)).alias("letters"), F.count("resolved_at").alias("resolved"), F.sum("attempts").alias("attempts"))
 

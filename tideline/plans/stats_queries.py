@@ -18,7 +18,6 @@ from tideline.sources.change_log import change_log, read_events, transactions
 from tideline.streaming.apply import StateTable, apply_stream, files_of
 
 #: Delivery time of a change in the examples: up to 2 s after its commit.
-LAG = (F.col("seq") * 7919) % 2000
 LAG_SQL = "(seq * 7919) % 2000"
 
 
@@ -30,7 +29,7 @@ CAPTURE_SQL = over_log("SELECT source, count(*) AS changes, count(DISTINCT txn)
 
 
 def lag_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.lag_summary(change_log(spark, sf_dir), LAG)
+    return stats.lag_summary(change_log(spark, sf_dir), F.expr(LAG_SQL))
 
 
 PERCENTILE_SQL = over_log(f"""SELECT source, count(*) AS n, CAST(round(quantile_cont({LAG_SQL}, 0.5)) AS BIGINT) AS p50, CAST(round(quantile_cont({LAG_SQL}, 0.95)) AS BIGINT) AS p95,
@@ -38,7 +37,7 @@ PERCENTILE_SQL = over_log(f"""SELECT source, count(*) AS n, CAST(round(quantile_
 
 
 def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.nearest_rank(change_log(spark, sf_dir).select("key", LAG.alias("lag")), "lag", ["key"], 0.95)
+    return stats.nearest_rank(change_log(spark, sf_dir).select("key", F.expr(LAG_SQL).alias("lag")), "lag", ["key"], 0.95)
 
 
 NEAREST_SQL = over_log(f"""SELECT key, lag AS nearest FROM (SELECT key, {LAG_SQL} AS lag, row_number() OVER (PARTITION BY key ORDER BY {LAG_SQL}) AS p, count(*) OVER (PARTITION BY key) AS n FROM lg)
