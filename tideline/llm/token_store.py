@@ -14,13 +14,12 @@ Documents are range-partitioned by id into shards, blocks are numbered within th
 ids come before it in the shard. Only the vocabulary's counts and one total per shard come to the driver.
 
 Defined cases: null and empty texts hold the end id alone; null ids come first; documents of equal id are ordered by
-length and checksum; an empty table gives a store without blocks.
+length and ids; an empty table gives a store without blocks.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +85,7 @@ def unpack_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, ids (bytes of the tokenizer's id type), ids_crc of every whole text, the end id included."""
+    """doc_id, n_tokens, ids (bytes of the tokenizer's id type) of every whole text, the end id included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
@@ -94,10 +93,9 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         for batch in batches:
             ids = [b"".join(own.word_ids((t or "").encode().split())) + end for t in batch.column("text").to_pylist()]
             sizes = pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64())
-            sums = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(ids, pa.binary()), sums], ["doc_id", "n_tokens", "ids", "ids_crc"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, ids_crc long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def id_counts(tokens: DataFrame, width: int, n_vocab: int) -> DataFrame:
@@ -160,7 +158,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, block_ids: int
         if doc_ids:
             yield closed()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids_crc").select("doc_id", "ids")
+    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids").select("doc_id", "ids")
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 

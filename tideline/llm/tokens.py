@@ -1,21 +1,28 @@
-"""Token ids of whole texts by a tokenizers file, with a cache of words.
+"""Token ids of whole texts by a tokenizers file that drops white space, with a cache of words.
 
-The pre-tokenizers used here never join text across ASCII white space, so a text's ids are its words' ids in a row. A
-worker keeps the ids of words it has seen and asks the tokenizer for new words only, many at a time, set apart by a
-special token (a special token in the text itself is encoded with the word it stands in).
+The pre-tokenizer of such a file never joins text across ASCII white space, so a text's ids are its words' ids in a row
+(checked when the file is loaded). A worker keeps the ids of words it has seen and asks the library for new words only.
+Words of Latin-1 letters with or without punctuation behind them, which are nearly all, are single pre-tokens of letters
+and of punctuation: their letters go to the file's BPE model directly, if that agrees with the whole tokenizer on
+PROBES. All other words go through the whole tokenizer, many at a time, set apart by a special token.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
+LETTERS = "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+PLAIN = re.compile(rf"([{LETTERS}]+)([!-/:-@\[-`{{-~]*)")
+PROBES = ["The", "a,", "word.", "Éñöß!!", "ÀÉÎõü&&&", "straße);", "zeitung...", "x$$$", "l'", "QUICK", "ÿþýÞ?", "of", "internationalization,", "ôœ"]
+
 _LOADED: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -24,40 +31,76 @@ class WordTokenizer:
         added = self.tokenizer.get_added_tokens_decoder().items()
         self.mark = next(((i, t.content) for i, t in added if t.special and not t.normalized and not t.lstrip and not t.rstrip), None)
         self.cache: dict[bytes, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         self.limit = limit
+        whole = self._plain([" ".join(PROBES) + " \n " + PROBES[0]])[0]
+        if whole != [i for ids in self._plain([*PROBES, PROBES[0]]) for i in ids]:
+            raise ValueError(f"{path} does not encode texts word by word")
+        self.model = self.tokenizer.model
+        self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.as_bytes = self._byte_letters()
+        if self.as_bytes is not None and any(self._letters(m) != self._pack(self._plain([m[0]])[0]) for m in map(PLAIN.fullmatch, PROBES) if m):
+            self.as_bytes = None
+
+    def _byte_letters(self) -> dict[int, str] | None:
+        """How the pre-tokenizer writes each lower-case letter; None if it does not split texts so."""
+        try:
+            written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in set(LETTERS.lower())}
+        except Exception as why:  # a pre-tokenizer of another kind
+            if "pre_tokenize" not in str(why) and not isinstance(why, AttributeError):
+                raise
+            return None
+        plain = all(len(w) == 1 and (w[0][0] == c or not c.isascii()) for c, w in written.items())
+        return {ord(c): w[0][0] for c, w in written.items()} if plain else None
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
 
     def _plain(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _letters(self, found: re.Match) -> bytes:
+        """The ids of a word of letters and trailing punctuation."""
+        letters, tail = found.groups()
+        if tail not in self.tails:
+            self.tails[tail] = self._pack(self._plain([tail])[0])
+        letters = letters.lower()
+        if not letters.isascii():
+            letters = letters.translate(self.as_bytes)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(letters)]) + self.tails[tail]
+
     def _learn(self, words: list[bytes]) -> None:
         if len(self.cache) > self.limit:
             self.cache.clear()
-        texts = [w.decode() for w in words]
-        if self.mark is None or any("<" in t for t in texts):
-            odd = [k for k, t in enumerate(texts) if self.mark is None or "<" in t]
-            for k, ids in zip(odd, self._plain([texts[k] for k in odd]), strict=True):
-                self.cache[words[k]] = np.array(ids, self.dtype).tobytes()
-            rest = sorted(set(range(len(texts))) - set(odd))
-            words, texts = [words[k] for k in rest], [texts[k] for k in rest]
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
-            ids = np.array(self._plain([self.mark[1].join(part)])[0], dtype=np.int64)
-            for word, own in zip(words[at : at + 256], np.split(ids, np.flatnonzero(ids == self.mark[0])), strict=True):
-                self.cache[word] = (own[1:] if len(own) and own[0] == self.mark[0] else own).astype(self.dtype).tobytes()
+            self.tails = {"": b""}
+        others = []
+        for word in words:
+            found = PLAIN.fullmatch(word.decode()) if self.as_bytes is not None else None
+            if found:
+                self.cache[word] = self._letters(found)
+            else:
+                others.append(word)
+        texts = [w.decode() for w in others]
+        odd = [k for k, t in enumerate(texts) if self.mark is None or "<" in t]
+        for k, ids in zip(odd, self._plain([texts[k] for k in odd]), strict=True):
+            self.cache[others[k]] = self._pack(ids)
+        rest = [k for k, t in enumerate(texts) if self.mark is not None and "<" not in t]
+        for at in range(0, len(rest), 256):
+            part = rest[at : at + 256]
+            ids = np.array(self._plain([self.mark[1].join([texts[k] for k in part])])[0], dtype=np.int64)
+            for k, own in zip(part, np.split(ids, np.flatnonzero(ids == self.mark[0])), strict=True):
+                self.cache[others[k]] = (own[1:] if len(own) and own[0] == self.mark[0] else own).astype(self.dtype).tobytes()
 
     def word_ids(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as bytes of self.dtype."""
-        get = self.cache.__getitem__
-        try:
-            return list(map(get, words))
-        except KeyError:
-            cache = self.cache
-            self._learn([w for w in dict.fromkeys(words) if w not in cache])
+        for _ in range(3):  # learning may empty the cache first
             try:
-                return list(map(cache.__getitem__, words))
-            except KeyError:  # the cache was emptied meanwhile
+                return list(map(self.cache.__getitem__, words))
+            except KeyError:
+                cache = self.cache
                 self._learn([w for w in dict.fromkeys(words) if w not in cache])
-                return list(map(cache.__getitem__, words))
+        raise KeyError(words)
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.word_ids((text or "").encode().split())), self.dtype)
@@ -72,5 +115,3 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def vocabulary_size(path: str) -> int:
     return tokenizer(path).tokenizer.get_vocab_size()
-
-
