@@ -71,9 +71,6 @@ class WordTokenizer:
         return b"".join([packed[t.id] for t in self.model.tokenize(letters)]) + self.tails[tail]
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-            self.tails = {"": b""}
         others = []
         for word in words:
             found = PLAIN.fullmatch(word.decode()) if self.as_bytes is not None else None
@@ -94,13 +91,15 @@ class WordTokenizer:
 
     def word_ids(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as bytes of self.dtype."""
-        for _ in range(3):  # learning may empty the cache first
-            try:
-                return list(map(self.cache.__getitem__, words))
-            except KeyError:
-                cache = self.cache
-                self._learn([w for w in dict.fromkeys(words) if w not in cache])
-        raise KeyError(words)
+        try:
+            return list(map(self.cache.__getitem__, words))
+        except KeyError:
+            cache = self.cache
+            if len(cache) > self.limit:
+                cache = self.cache = {w: cache[w] for w in words if w in cache}
+                self.tails = {"": b""}
+            self._learn([w for w in dict.fromkeys(words) if w not in cache])
+            return list(map(cache.__getitem__, words))
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.word_ids((text or "").encode().split())), self.dtype)
