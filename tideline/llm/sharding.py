@@ -64,12 +64,12 @@ def build_slot_map(totals: DataFrame, n_shards: int) -> DataFrame:
 
 
 def rebalance_slot_map(slot_map: DataFrame, n_shards: int) -> DataFrame:
-    """The next version after one shard is added: every old shard gives slots to the new one (n_shards - 1) until it has come
-    down to an equal share of the bytes. No slot moves between old shards, and records stay in their slots."""
+    """The next version after one shard is added: every old shard gives slots to the new one (n_shards - 1), small ones
+    first, as long as it keeps an equal share of the bytes. No slot moves between old shards, and records stay in their slots."""
     share = F.sum("slot_bytes").over(W.partitionBy()) / F.lit(n_shards)
     own = W.partitionBy("shard")
     spare = F.sum("slot_bytes").over(own) - share
-    given = F.sum("slot_bytes").over(own.orderBy(F.col("slot_bytes").desc(), "virtual_slot"))
+    given = F.sum("slot_bytes").over(own.orderBy("slot_bytes", "virtual_slot"))
     moves = (given <= spare) & (F.col("slot_bytes") > 0)
     edited = slot_map.withColumn("shard", F.when(moves, F.lit(n_shards - 1)).otherwise(F.col("shard")).cast("int"))
     return edited.withColumn("version", F.col("version") + 1)
