@@ -125,8 +125,9 @@ class Mix:
         return stage(cuts, "mix-cuts")
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """docs with mix_copies: how often the mix takes each (0: not at all); its other columns stay."""
-        return self._copies(docs.withColumns(self.columns)).drop(*self.columns, "source_size", "target")
+        """row (all columns of docs) and mix_copies: how often the mix takes it (0: not at all)."""
+        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", "text", "source").withColumns(self.columns)
+        return self._copies(rows).select("row", "mix_copies")
 
     def decisions(self) -> DataFrame:
         """doc_id, size, source_size, target, taken."""
@@ -145,4 +146,4 @@ class Mix:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with the columns it came with."""
     rows = Mix(docs, **options).apply(docs).where("mix_copies > 0")
-    return rows.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).drop("mix_copies")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy")).select("row.*")
