@@ -83,4 +83,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_html_text, op2_token_store, op3_url_rules, op4_mixing, op5_fingerprints, op6_quality, op7_sharding, op8_langid, op9_jaccard_join, op10_packing)
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Whole texts, all pairs that share a shingle; fine at the sizes that SQL is compared at.
+JACCARD_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT w.doc_id, count(sh.s) AS n_shingles FROM w LEFT JOIN sh ON w.doc_id = sh.doc_id GROUP BY w.doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n_shingles + y.n_shingles - k)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT a, b FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON r.other = e.a)
+SELECT n.doc_id, n.n_shingles, least(n.doc_id, coalesce(min(other), n.doc_id)) AS component_id FROM n LEFT JOIN reach ON n.doc_id = reach.doc_id GROUP BY n.doc_id, n.n_shingles"""
+
+ORACLE_SQL: dict[str, str] = {"op9_jaccard_join": JACCARD_SQL}
