@@ -6,12 +6,15 @@ Documents are sets of hashes of word shingles; two link when 100 * |A and B| >=
 2. Routing (prefix filter): in any one order of all hashes, two linked sets share a hash among the first
    n - ceil(n * PERCENT / 100) + 1 of each. Hashes that a sample of documents finds frequent come last in the order, which
    keeps routes short; the order decides speed only. Hashes that route a single class are dropped.
-3. Stars: in every route the class with the least seeded hash is the hub, and each class is compared with the hub it meets
-   most. That joins most of a large group of near copies with one comparison a member.
+3. Stars: in every route the class with the least seeded hash is the hub, and each class is compared with the hubs that it
+   meets often. That joins most of a large group of near copies with a few comparisons a member.
 4. Signature trees: in each route that still joins different components, a tree over its classes, sorted by size, holds
    size ranges and OR-combined bitmaps of hashes. Two branches can share at most popcount(OR of one and OR of other) plus
    the hashes that fell on a bit already set; a dual traversal drops pairs of branches whose bound, or whose size ranges,
-   exclude a link, and pairs of branches within one component. Pairs that remain are compared on their whole sets.
+   exclude a link, and pairs of branches within one component. Of the pairs that remain, those that meet in too few routes to link go (see
+   may_link), the others are compared on their whole sets.
+   A route of more than ROUTE_BLOCK classes is cut into blocks and every two blocks become a group, so no route, however
+   long, is one task's.
 5. Components by pointer jumping over the verified links, iterations written to the shared folder.
 
 Pairs within one component are skipped in 4, as they change no component; every other pair that may link is compared, so
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,8 +45,10 @@ SIZE, PERCENT = 4, 85
 SAMPLE, MIN_SEEN, MAX_FREQUENT = 16, 3, 1_000_000
 #: Bits of the broadcast filter of documents whose sets are fetched, 4 MB whatever the input.
 FILTER_BITS = 25
-WORDS = 8  # 64-bit words of each bitmap
+WORDS = 4  # 64-bit words of each bitmap
 LEAF, FANOUT = 16, 8
+#: Routes of more classes are cut into blocks of so many, and every two blocks are a task's group of their own.
+ROUTE_BLOCK = 4096
 STARS = 2
 
 
@@ -60,13 +65,17 @@ def least_share(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
-def prefix(hashes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The hashes that route a set, from a sorted set and the sorted frequent hashes."""
+def prefix(hashes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The hashes that route a set, from a sorted set and the sorted frequent hashes; and a number that orders sets by the
+    last of them."""
     at = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
     late = frequent[at] == hashes if len(frequent) else np.zeros(len(hashes), dtype=bool)
     count = len(hashes) - least_share(len(hashes), percent) + 1
     few = hashes[~late][:count]
-    return few if len(few) == count else np.concatenate((few, hashes[late][: count - len(few)]))
+    if len(few) == count:
+        return few, int(few[-1] >> np.uint64(2))
+    rest = hashes[late][: count - len(few)]
+    return np.concatenate((few, rest)), 1 << 62 | int(rest[-1] >> np.uint64(2))
 
 
 def bitmaps(hashes: np.ndarray) -> np.ndarray:
@@ -137,16 +146,21 @@ class Tree:
         return a[keep], b[keep]
 
 
-def route_pairs(tokens: np.ndarray, nodes: np.ndarray, n: np.ndarray, comp: np.ndarray, maps: np.ndarray, percent: int) -> np.ndarray:
-    """Distinct candidate pairs (rows of two nodes, smaller first) of a run of whole routes; rows sorted by token and size."""
-    starts = run_starts(tokens)
+def route_pairs(routes: np.ndarray, nodes: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, maps: np.ndarray, percent: int) -> np.ndarray:
+    """Candidate pairs (rows of two nodes, smaller first, and in how many routes) of a run of whole routes; rows sorted by route.
+    Where sides are not 0 only pairs of different sides count."""
+    starts = run_starts(routes)
     found = [np.zeros((0, 2), dtype=np.int64)]
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(tokens)], strict=True):
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(routes)], strict=True):
         if b - a > 1 and (comp[a:b] != comp[a]).any():
             left, right = Tree(n[a:b], comp[a:b], maps[a:b]).pairs(percent)
+            if side[a]:
+                across = side[a:b][left] != side[a:b][right]
+                left, right = left[across], right[across]
             own = nodes[a:b]
             found.append(np.stack((np.minimum(own[left], own[right]), np.maximum(own[left], own[right])), axis=1))
-    return np.unique(np.concatenate(found), axis=0)
+    pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return np.column_stack((pairs, times))
 
 
 def frequent_hashes(docs: DataFrame, size: int) -> np.ndarray:
@@ -164,23 +178,25 @@ def frequent_hashes(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """row, doc_id, node (the set's name; null for an empty set), n, prefix, maps of every document."""
+    """row, doc_id, node (the set's name; null for an empty set), n, prefix, last, maps of every document."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_hashes(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, counts, routes, maps = [], [], [], []
+            nodes, counts, routes, lasts, maps = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingle_set(text, size)
                 counts.append(len(own))
                 nodes.append(set_id(own) if len(own) else None)
-                routes.append(prefix(own, frequent.value, percent).astype(np.uint64).view(np.int64) if len(own) else [])
+                route, last = prefix(own, frequent.value, percent) if len(own) else (own, None)
+                routes.append(route.astype(np.uint64).view(np.int64))
+                lasts.append(last)
                 maps.append(bitmaps(own).tobytes() if len(own) else None)
-            columns = [pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(routes, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", "node", "n", "prefix", "maps"])
+            columns = [pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(routes, pa.list_(pa.int64())), pa.array(lasts, pa.int64()), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", "node", "n", "prefix", "last", "maps"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, node long, n long, prefix array<long>, maps binary")
+    return rows.mapInArrow(run, "row long, doc_id long, node long, n long, prefix array<long>, last long, maps binary")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -253,7 +269,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     full = signed.where("node is not null")
     classes = full.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     classes = stage(classes, "join-classes")
-    firsts = full.select("row", "node", "n", "prefix", "maps").join(classes.select("row"), "row", "left_semi")
+    firsts = full.select("row", "node", "n", "prefix", "last", "maps").join(classes.select("row"), "row", "left_semi")
     by_token = W.partitionBy("token")
     routes = firsts.select("node", F.explode("prefix").alias("token"))
     routes = routes.withColumns({"low": F.min("node").over(by_token), "high": F.max("node").over(by_token)}).where("low < high").select("token", "node")
@@ -279,32 +295,33 @@ def open_routes(routes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def star_pairs(routes: DataFrame, labels: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
-    """a, b: each class with the hub it shares most routes with, if they share a tenth of the class's routes."""
+    """a, b: each class with the hub it shares most routes with, if they share a fifth of the class's routes."""
     known = routes.join(labels, "node")
     hub = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).over(W.partitionBy("token"))
     met = known.withColumn("least", hub).select("node", "comp", "least.hub", "least.hub_comp").where("comp <> hub_comp")
     shared = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
     best = shared.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best")).select("node", "best.times", "best.hub").join(sizes, "node")
-    enough = F.col("times") * 1000 >= F.col("n") * 15
+    enough = F.col("times") * 1000 >= F.col("n") * 30
     return best.where(enough).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def tree_pairs(routes: DataFrame, labels: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """a, b: all pairs of classes of different components that meet in a route and that its signature tree cannot exclude."""
+    """a, b: all pairs of classes of different components that meet in routes whose signature trees cannot exclude them, and
+    in enough of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out(parts: list[tuple]) -> pa.RecordBatch:
-            columns = [np.concatenate([p[k] for p in parts]) for k in range(4)]
-            maps = np.concatenate([p[4] for p in parts])
+            columns = [np.concatenate([p[k] for p in parts]) for k in range(5)]
+            maps = np.concatenate([p[5] for p in parts])
             found = route_pairs(*columns, maps, percent)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(3)], ["a", "b", "times"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "node", "n", "comp")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("route", "node", "n", "comp", "side")]
             maps = np.frombuffer(b"".join(batch.column("maps").to_pylist()), "<u8").reshape(-1, 2 * WORDS)
             last = int(run_starts(columns[0])[-1])  # the batch's last route may go on in the next
             if held and (last or columns[0][0] != held[-1][0][-1]):
@@ -321,6 +338,26 @@ def tree_pairs(routes: DataFrame, labels: DataFrame, firsts: DataFrame, percent:
         if held:
             yield out(held)
 
-    rows = routes.join(labels, "node").join(firsts.select("node", "n", "maps"), "node")
-    rows = rows.repartition("token").sortWithinPartitions("token", "n", "node").select("token", "node", "n", "comp", "maps")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    by_token = W.partitionBy("token")
+    place = F.floor((F.row_number().over(by_token.orderBy("node")) - 1) / ROUTE_BLOCK)
+    rows = routes.join(labels, "node").withColumns({"block": place, "blocks": F.ceil(F.count(F.lit(1)).over(by_token) / ROUTE_BLOCK)})
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cut = rows.where("blocks > 1").withColumn("other", other).select(
+        F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("route"), "node", "comp", F.when(F.col("block") == F.col("other"), F.lit(0)).otherwise(F.col("block") + 1).alias("side")
+    )
+    rows = rows.where("blocks = 1").select(F.col("token").alias("route"), "node", "comp", F.lit(0).cast("long").alias("side")).unionByName(cut)
+    rows = rows.join(firsts.select("node", "n", "maps"), "node").repartition("route")
+    rows = rows.sortWithinPartitions("route", "n", "node").select("route", "node", "n", "comp", "side", "maps")
+    met = rows.mapInArrow(run, "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    end = lambda x: firsts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("last").alias(f"last_{x}"))
+    return met.join(end("a"), "a").join(end("b"), "b").where(may_link(percent)).select("a", "b")
+
+
+def may_link(percent: int) -> Column:
+    """Whether a pair that shares `times` routes can link. In the common order of hashes, all that the two share up to where
+    the first of the two prefixes ends is counted by their routes; past that place the set whose prefix ended has
+    least_share(n) - 1 hashes left, so the two share times + that many at most."""
+    rest = lambda n: F.floor((F.col(n) * percent + 99) / 100) - 1
+    first, second = F.col("last_a") < F.col("last_b"), F.col("last_b") < F.col("last_a")
+    most = F.col("times") + F.when(first, rest("n_a")).when(second, rest("n_b")).otherwise(F.greatest(rest("n_a"), rest("n_b")))
+    return most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
