@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.functions.images import ENTRIES
+
 VERSION = "struct<hlc:bigint,source:string,ordinal:int>"
 STATE = ["key", "delete_version", "newest_version", "newest_image", "registers"]
 
@@ -31,17 +33,22 @@ def registered(names: Column, img: Column) -> Column:
 
 
 def fold_changes(changes: DataFrame) -> DataFrame:
-    """STATE of every key from changes (key, op, hlc, source, ordinal, after, columns). Changes of one version are one change."""
-    seen = changes.select("key", "op", version().alias("version"), "after", "columns").dropDuplicates(["key", "version"])
-    deletes = seen.groupBy("key").agg(F.max(F.when(F.col("op") == "d", F.col("version"))).alias("delete_version"))
-    live = seen.where("op <> 'd'").join(deletes, "key").where(F.col("delete_version").isNull() | (F.col("version") > F.col("delete_version")))
-    newest = live.groupBy("key").agg(F.max(F.struct("version", "after")).alias("newest"))
-    entries = live.select("key", "version", F.explode(registered(F.col("columns"), F.col("after"))).alias("e"))
-    registers = entries.groupBy("key", F.col("e.name").alias("column")).agg(F.max(F.struct(F.col("version"), F.col("e.value").alias("value"))).alias("r"))
-    registers = registers.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("column", "r.version", "r.value"))).alias("registers"))
-    state = deletes.join(newest, "key", "left").join(registers, "key", "left")
+    """STATE of every key from changes (key, op, hlc, source, ordinal, after, columns). Changes of one version are the same
+    change, so repeats have no effect. The log is dealt by key once, to meet its deletes; newest images and registers are
+    maximums of the same pass."""
+    rows = changes.select("key", "op", version().alias("version"), "after", "columns")
+    deletes = rows.groupBy("key").agg(F.max(F.when(F.col("op") == "d", F.col("version"))).alias("delete_version"))
+    live = rows.where("op <> 'd'").join(deletes, "key").where(F.col("delete_version").isNull() | (F.col("version") > F.col("delete_version")))
+    no_text, no_image = F.lit(None).cast("string"), F.lit(None).cast(ENTRIES)
+    part = lambda name, value, img: F.struct(name.alias("column"), value.alias("value"), img.alias("image"))
+    entries = F.transform(registered(F.col("columns"), F.col("after")), lambda e: part(e["name"], e["value"], no_image))
+    parts = live.select("key", "version", F.explode(F.concat(F.array(part(no_text, no_text, F.col("after"))), entries)).alias("p"))
+    best = parts.groupBy("key", "p.column").agg(F.max(F.struct("version", "p.value", "p.image")).alias("r"))
+    register = F.when(F.col("column").isNotNull(), F.struct("column", "r.version", "r.value"))
+    state = best.groupBy("key").agg(F.max(F.when(F.col("column").isNull(), F.col("r"))).alias("newest"), F.array_sort(F.collect_list(register)).alias("registers"))
+    state = deletes.join(state, "key", "left")
     empty = F.array().cast(f"array<struct<column:string,version:{VERSION},value:string>>")
-    return state.select("key", "delete_version", F.col("newest.version").alias("newest_version"), F.col("newest.after").alias("newest_image"), F.coalesce("registers", empty).alias("registers"))
+    return state.select("key", "delete_version", F.col("newest.version").alias("newest_version"), F.col("newest.image").alias("newest_image"), F.coalesce("registers", empty).alias("registers"))
 
 
 def merge_states(*states: DataFrame) -> DataFrame:
