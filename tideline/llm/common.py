@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; the same class for Java, Python and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_BYTES = rb"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
