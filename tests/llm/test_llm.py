@@ -483,7 +483,7 @@ def test_components_equal_brute_force(spark, docs, case):
 
 def test_long_routes_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "ROUTE_BLOCK", 4)
-    monkeypatch.setattr(jaccard_join, "STARS", 0)
+    monkeypatch.setattr(jaccard_join, "STARS", ())
     rows = near_copies()
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_shingles", "component_id").collect()
     assert Counter(map(tuple, got)) == Counter(components(rows))

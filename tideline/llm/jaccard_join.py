@@ -42,14 +42,15 @@ from tideline.llm.fingerprints import shingle_hashes, word_hashes
 SIZE, PERCENT = 4, 85
 #: One document in so many is looked at for frequent hashes; a hash is frequent from MIN_SEEN of them on. At most
 #: MAX_FREQUENT (the most frequent) are broadcast: 8 MB.
-SAMPLE, MIN_SEEN, MAX_FREQUENT = 16, 3, 1_000_000
+SAMPLE, MIN_SEEN, MAX_FREQUENT = 8, 2, 1_000_000
 #: Bits of the broadcast filter of documents whose sets are fetched, 4 MB whatever the input.
 FILTER_BITS = 25
 WORDS = 4  # 64-bit words of each bitmap
 LEAF, FANOUT = 16, 8
 #: Routes of more classes are cut into blocks of so many, and every two blocks are a task's group of their own.
 ROUTE_BLOCK = 4096
-STARS = 2
+#: The seeds of hubs, round by round.
+STARS = ((0,), (1, 2, 3, 4))
 
 
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -276,8 +277,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     routes = stage(routes, "join-routes")
     labels = stage(routes.select("node").distinct().withColumn("comp", F.col("node")), "join-labels")
     sizes = classes.select("node", "n")
-    for seed in range(STARS):
-        labels = join_components(labels, verified(stage(star_pairs(routes, labels, sizes, seed), "join-stars"), classes, docs, size, percent))
+    for seeds in STARS:
+        labels = join_components(labels, verified(stage(star_pairs(routes, labels, sizes, seeds), "join-stars"), classes, docs, size, percent))
         routes = stage(open_routes(routes, labels), "join-routes")
     labels = join_components(labels, verified(stage(tree_pairs(routes, labels, firsts, percent), "join-pairs"), classes, docs, size, percent))
     named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -294,15 +295,16 @@ def open_routes(routes: DataFrame, labels: DataFrame) -> DataFrame:
     return known.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token)}).where("low < high").select("token", "node")
 
 
-def star_pairs(routes: DataFrame, labels: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
-    """a, b: each class with the hub it shares most routes with, if they share a fifth of the class's routes."""
-    known = routes.join(labels, "node")
-    hub = F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).over(W.partitionBy("token"))
-    met = known.withColumn("least", hub).select("node", "comp", "least.hub", "least.hub_comp").where("comp <> hub_comp")
-    shared = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
-    best = shared.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best")).select("node", "best.times", "best.hub").join(sizes, "node")
+def star_pairs(routes: DataFrame, labels: DataFrame, sizes: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    """a, b: each class with the hubs (one a route and seed) of other components with which it shares a fifth of its routes."""
+    by_token = W.partitionBy("token")
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).over(by_token) for s in seeds]
+    known = routes.join(labels, "node").withColumn("hubs", F.array(*least))
+    hubs = F.array_distinct(F.transform(F.filter("hubs", lambda x: x["hub_comp"] != F.col("comp")), lambda x: x["hub"]))
+    met = known.where(F.size(hubs) > 0).select("node", F.explode(hubs).alias("hub"))
+    shared = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times")).join(sizes, "node")
     enough = F.col("times") * 1000 >= F.col("n") * 30
-    return best.where(enough).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return shared.where(enough).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def tree_pairs(routes: DataFrame, labels: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
