@@ -30,6 +30,8 @@ from tideline.llm.tokens import tokenizer
 PART_CHARS = 8_000_000
 RUN_TOKENS = 2_000_000
 SPAN = 64
+#: Words whose ids a worker keeps, about 150 bytes each.
+KEPT_WORDS = 1_200_000
 #: Penalties in tokens of padding: at the end of a sentence, and inside one.
 SENTENCE, INSIDE = 2, 24
 STOPS = frozenset(b".!?")
@@ -97,7 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(tokenizer_path)
+        own = tokenizer(tokenizer_path, KEPT_WORDS)
         size = own.dtype.itemsize
         end = np.array([end_id], own.dtype).tobytes()
         sequence = TaskContext.get().partitionId() << 40

@@ -105,10 +105,11 @@ class WordTokenizer:
         return np.frombuffer(b"".join(self.word_ids((text or "").encode().split())), self.dtype)
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One per worker and file."""
+def tokenizer(path: str, limit: int = 500_000) -> WordTokenizer:
+    """One per worker and file; limit is the number of words that it keeps."""
     if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
+        _LOADED[path] = WordTokenizer(path, limit)
+    _LOADED[path].limit = limit
     return _LOADED[path]
 
 
