@@ -499,13 +499,13 @@ def test_tree_keeps_every_link():
     sets = sorted({tuple(jaccard_join.shingle_set(t)) for t in texts_}, key=len)
     sets = [np.array(s, dtype=np.uint64) for s in sets]
     n = np.array([len(s) for s in sets])
-    maps = np.stack([jaccard_join.bitmaps(s) for s in sets])
+    maps = np.stack([jaccard_join.bitmap(jaccard_join.prefix(s, s[:0])[0]) for s in sets])
     comp = np.arange(len(sets))
-    left, right = jaccard_join.Tree(n, comp, maps).pairs(85)
+    left, right = jaccard_join.Tree(n, comp, maps, 85).pairs()
     found = set(zip(left.tolist(), right.tolist(), strict=True))
     links = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard_join.linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j])), 85)}
     assert links <= found and len(found) < len(sets) ** 2 / 4
-    same = jaccard_join.Tree(n, np.zeros_like(comp), maps).pairs(85)
+    same = jaccard_join.Tree(n, np.zeros_like(comp), maps, 85).pairs()
     assert not len(same[0])
 
 

@@ -9,9 +9,9 @@ Documents are sets of hashes of word shingles; two link when 100 * |A and B| >=
 3. Stars: in every route the class with the least seeded hash is the hub, and each class is compared with the hubs that it
    meets often. That joins most of a large group of near copies with a few comparisons a member.
 4. Signature trees: in each route that still joins different components, a tree over its classes, sorted by size, holds
-   size ranges and OR-combined bitmaps of hashes. Two branches can share at most popcount(OR of one and OR of other) plus
-   the hashes that fell on a bit already set; a dual traversal drops pairs of branches whose bound, or whose size ranges,
-   exclude a link, and pairs of branches within one component. Of the pairs that remain, those that meet in too few routes to link go (see
+   size ranges and OR-combined bitmaps of routing hashes. Sets of two branches can share at most popcount(OR of one and OR
+   of other), the hashes that fell on a bit already set, and what lies past the end of a prefix; a dual traversal drops pairs
+   of branches whose bound, or whose size ranges, exclude a link, and pairs of branches within one component. Of the pairs that remain, those that meet in too few routes to link go (see
    may_link), the others are compared on their whole sets.
    A route of more than ROUTE_BLOCK classes is cut into blocks and every two blocks become a group, so no route, however
    long, is one task's.
@@ -45,7 +45,7 @@ SIZE, PERCENT = 4, 85
 SAMPLE, MIN_SEEN, MAX_FREQUENT = 8, 2, 1_000_000
 #: Bits of the broadcast filter of documents whose sets are fetched, 4 MB whatever the input.
 FILTER_BITS = 25
-WORDS = 4  # 64-bit words of each bitmap
+WORDS = 16  # 64-bit words of a bitmap
 LEAF, FANOUT = 16, 8
 #: Routes of more classes are cut into blocks of so many, and every two blocks are a task's group of their own.
 ROUTE_BLOCK = 4096
@@ -79,12 +79,15 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) ->
     return np.concatenate((few, rest)), 1 << 62 | int(rest[-1] >> np.uint64(2))
 
 
-def bitmaps(hashes: np.ndarray) -> np.ndarray:
-    """Two bitmaps of WORDS words: bits that some hash has (for OR), and bits that an odd number of hashes has."""
-    bits = (mix64(hashes) >> np.uint64(8)) % np.uint64(64 * WORDS)
-    n = np.bincount(bits.astype(np.int64), minlength=64 * WORDS)
-    both = np.concatenate((n > 0, n % 2 == 1))
-    return np.packbits(both, bitorder="little").view("<u8")
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """WORDS words in which every token of a prefix has its bit set."""
+    bits = (mix64(tokens) >> np.uint64(8)) % np.uint64(64 * WORDS)
+    return np.packbits(np.bincount(bits.astype(np.int64), minlength=64 * WORDS) > 0, bitorder="little").view("<u8")
+
+
+def rest(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many hashes of a set of n are not in its prefix."""
+    return (percent * n + 99) // 100 - 1
 
 
 def linked(n_a: int, n_b: int, shared: int, percent: int) -> bool:
@@ -94,10 +97,10 @@ def linked(n_a: int, n_b: int, shared: int, percent: int) -> bool:
 class Tree:
     """A signature tree of one route's classes, level by level from the leaves up."""
 
-    def __init__(self, n: np.ndarray, comp: np.ndarray, maps: np.ndarray):
-        self.n, self.comp, self.maps = n, comp, maps
-        ones = np.bitwise_count(maps[:, :WORDS]).sum(axis=1)
-        level = {"lo": n, "hi": n, "or": maps[:, :WORDS], "extra": n - ones, "comp_lo": comp, "comp_hi": comp}
+    def __init__(self, n: np.ndarray, comp: np.ndarray, maps: np.ndarray, percent: int):
+        extra = n - rest(n, percent) - np.bitwise_count(maps).sum(axis=1)
+        level = {"lo": n, "hi": n, "or": maps, "extra": extra, "comp_lo": comp, "comp_hi": comp}
+        self.percent = percent
         self.levels = [level]
         self.fan = []
         while len(level["lo"]) > 1:
@@ -114,22 +117,23 @@ class Tree:
             self.levels.append(level)
             self.fan.append(fan)
 
-    def possible(self, depth: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        """Which pairs of nodes of a level may hold a link between two components."""
-        x = self.levels[depth]
+    def possible(self, depth: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of nodes of a level may hold a link between two components. Sets share hashes of both prefixes, of which
+        there are no more than common bits and tokens beyond one a bit, and hashes past the end of one prefix."""
+        x, percent = self.levels[depth], self.percent
         small, large = np.minimum(x["hi"][a], x["hi"][b]), np.maximum(x["lo"][a], x["lo"][b])
         one = (x["comp_lo"][a] == x["comp_hi"][a]) & (x["comp_lo"][b] == x["comp_hi"][b]) & (x["comp_lo"][a] == x["comp_lo"][b])
         keep = np.flatnonzero((100 * small >= percent * large) & ~one)
         a, b = a[keep], b[keep]
         common = np.bitwise_count(x["or"][a] & x["or"][b]).sum(axis=1).astype(np.int64)
-        most = np.minimum(common + np.minimum(x["extra"][a], x["extra"][b]), np.minimum(x["hi"][a], x["hi"][b]))
+        most = common + np.minimum(x["extra"][a], x["extra"][b]) + rest(np.maximum(x["hi"][a], x["hi"][b]), percent)
         return keep[(100 + percent) * most >= percent * (x["lo"][a] + x["lo"][b])]
 
-    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of classes (indexes) of different components that the bounds do not exclude."""
         a = b = np.zeros(1, dtype=np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
-            keep = self.possible(depth, a, b, percent)
+            keep = self.possible(depth, a, b)
             a, b = a[keep], b[keep]
             if not depth or not len(a):
                 break
@@ -139,12 +143,7 @@ class Tree:
             right = np.tile(b[:, None] * fan + step, (1, fan)).ravel()
             inside = (left < width) & (right < width) & (left <= right if depth > 1 else left < right)
             a, b = left[inside], right[inside]
-        if len(self.levels) == 1:
-            return a[:0], b[:0]
-        odd = np.bitwise_count(self.maps[a, WORDS:] ^ self.maps[b, WORDS:]).sum(axis=1).astype(np.int64)
-        total = self.n[a] + self.n[b]  # at least `odd` hashes are in one of the two only
-        keep = (100 + percent) * (total - odd) >= 2 * percent * total
-        return a[keep], b[keep]
+        return (a, b) if len(self.levels) > 1 else (a[:0], b[:0])
 
 
 def route_pairs(routes: np.ndarray, nodes: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, maps: np.ndarray, percent: int) -> np.ndarray:
@@ -154,7 +153,7 @@ def route_pairs(routes: np.ndarray, nodes: np.ndarray, n: np.ndarray, comp: np.n
     found = [np.zeros((0, 2), dtype=np.int64)]
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(routes)], strict=True):
         if b - a > 1 and (comp[a:b] != comp[a]).any():
-            left, right = Tree(n[a:b], comp[a:b], maps[a:b]).pairs(percent)
+            left, right = Tree(n[a:b], comp[a:b], maps[a:b], percent).pairs()
             if side[a]:
                 across = side[a:b][left] != side[a:b][right]
                 left, right = left[across], right[across]
@@ -192,7 +191,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 route, last = prefix(own, frequent.value, percent) if len(own) else (own, None)
                 routes.append(route.astype(np.uint64).view(np.int64))
                 lasts.append(last)
-                maps.append(bitmaps(own).tobytes() if len(own) else None)
+                maps.append(bitmap(route).tobytes() if len(own) else None)
             columns = [pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(routes, pa.list_(pa.int64())), pa.array(lasts, pa.int64()), pa.array(maps, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", "node", "n", "prefix", "last", "maps"])
 
@@ -324,7 +323,7 @@ def tree_pairs(routes: DataFrame, labels: DataFrame, firsts: DataFrame, percent:
             if not batch.num_rows:
                 continue
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("route", "node", "n", "comp", "side")]
-            maps = np.frombuffer(b"".join(batch.column("maps").to_pylist()), "<u8").reshape(-1, 2 * WORDS)
+            maps = np.frombuffer(b"".join(batch.column("maps").to_pylist()), "<u8").reshape(-1, WORDS)
             last = int(run_starts(columns[0])[-1])  # the batch's last route may go on in the next
             if held and (last or columns[0][0] != held[-1][0][-1]):
                 cut = int(np.searchsorted(columns[0] != held[-1][0][-1], True)) if columns[0][0] == held[-1][0][-1] else 0
@@ -359,7 +358,7 @@ def may_link(percent: int) -> Column:
     """Whether a pair that shares `times` routes can link. In the common order of hashes, all that the two share up to where
     the first of the two prefixes ends is counted by their routes; past that place the set whose prefix ended has
     least_share(n) - 1 hashes left, so the two share times + that many at most."""
-    rest = lambda n: F.floor((F.col(n) * percent + 99) / 100) - 1
+    past = lambda n: F.floor((F.col(n) * percent + 99) / 100) - 1
     first, second = F.col("last_a") < F.col("last_b"), F.col("last_b") < F.col("last_a")
-    most = F.col("times") + F.when(first, rest("n_a")).when(second, rest("n_b")).otherwise(F.greatest(rest("n_a"), rest("n_b")))
+    most = F.col("times") + F.when(first, past("n_a")).when(second, past("n_b")).otherwise(F.greatest(past("n_a"), past("n_b")))
     return most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
