@@ -49,6 +49,8 @@ WORDS = 16  # 64-bit words of a bitmap
 LEAF, FANOUT = 16, 8
 #: Routes of more classes are cut into blocks of so many, and every two blocks are a task's group of their own.
 ROUTE_BLOCK = 4096
+#: Pairs that a task keeps, beside those that it cannot sum up, before it sums them up.
+PAIRS_HELD = 200_000
 #: The seeds of hubs, round by round.
 STARS = ((0,), (1, 2, 3, 4))
 
@@ -163,6 +165,14 @@ def route_pairs(routes: np.ndarray, nodes: np.ndarray, n: np.ndarray, comp: np.n
     return np.column_stack((pairs, times))
 
 
+def summed_pairs(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of route_pairs with the times of equal pairs added up."""
+    every = np.concatenate(parts)
+    every = every[np.lexsort((every[:, 1], every[:, 0]))]
+    starts = np.flatnonzero(np.concatenate(([True], (every[1:, :2] != every[:-1, :2]).any(axis=1)))) if len(every) else np.zeros(0, np.int64)
+    return np.column_stack((every[starts, :2], np.add.reduceat(every[:, 2], starts))) if len(every) else every
+
+
 def frequent_hashes(docs: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes that occur in many documents of the sample."""
 
@@ -173,8 +183,8 @@ def frequent_hashes(docs: DataFrame, size: int) -> np.ndarray:
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(SAMPLE)) == 0).select("text")
     seen = sample.mapInArrow(run, "hash long").groupBy("hash").count().where(F.col("count") >= MIN_SEEN)
-    most = seen.orderBy(F.col("count").desc(), "hash").limit(MAX_FREQUENT).select("hash").collect()
-    return np.sort(np.array([r[0] for r in most], dtype=np.int64).view(np.uint64))
+    most = seen.orderBy(F.col("count").desc(), "hash").limit(MAX_FREQUENT).select("hash").toArrow()
+    return np.sort(most.column("hash").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -206,8 +216,8 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS)
     masks = wanted.where("doc_id is not null").select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    for r in masks.agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("mask")).collect():
-        bits[r.word] = r.mask
+    found = masks.agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("mask")).toArrow()
+    bits[found.column("word").to_numpy()] = found.column("mask").to_numpy()
     table = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,12 +322,14 @@ def tree_pairs(routes: DataFrame, labels: DataFrame, firsts: DataFrame, percent:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        found: list[np.ndarray] = []  # summed before it leaves the task
 
-        def out(parts: list[tuple]) -> pa.RecordBatch:
+        def join(parts: list[tuple]) -> None:
             columns = [np.concatenate([p[k] for p in parts]) for k in range(5)]
             maps = np.concatenate([p[5] for p in parts])
-            found = route_pairs(*columns, maps, percent)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(3)], ["a", "b", "times"])
+            found.append(route_pairs(*columns, maps, percent))
+            if sum(map(len, found)) > 2 * max(map(len, found)) + PAIRS_HELD:
+                found[:] = [summed_pairs(found)]
 
         for batch in batches:
             if not batch.num_rows:
@@ -327,17 +339,20 @@ def tree_pairs(routes: DataFrame, labels: DataFrame, firsts: DataFrame, percent:
             last = int(run_starts(columns[0])[-1])  # the batch's last route may go on in the next
             if held and (last or columns[0][0] != held[-1][0][-1]):
                 cut = int(np.searchsorted(columns[0] != held[-1][0][-1], True)) if columns[0][0] == held[-1][0][-1] else 0
-                yield out([*held, (*[c[:cut] for c in columns], maps[:cut])])
+                join([*held, (*[c[:cut] for c in columns], maps[:cut])])
                 if last > cut:
-                    yield out([(*[c[cut:last] for c in columns], maps[cut:last])])
+                    join([(*[c[cut:last] for c in columns], maps[cut:last])])
                 held = [(*[c[last:] for c in columns], maps[last:])]
             elif last:
-                yield out([(*[c[:last] for c in columns], maps[:last])])
+                join([(*[c[:last] for c in columns], maps[:last])])
                 held = [(*[c[last:] for c in columns], maps[last:])]
             else:
                 held.append((*columns, maps))
         if held:
-            yield out(held)
+            join(held)
+        if found:
+            sums = summed_pairs(found)
+            yield pa.RecordBatch.from_arrays([pa.array(sums[:, k]) for k in range(3)], ["a", "b", "times"])
 
     by_token = W.partitionBy("token")
     place = F.floor((F.row_number().over(by_token.orderBy("node")) - 1) / ROUTE_BLOCK)
