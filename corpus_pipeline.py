@@ -20,6 +20,8 @@ from tideline.llm.queries import word_tokenizer
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document this far from every learned profile is in none of the languages.
 MIN_LANGUAGE_SCORE = 0.2
+#: Near duplicates share NEAR_PERCENT of their shingles of NEAR_SIZE words or more (op9's own query has other numbers).
+NEAR_SIZE, NEAR_PERCENT = 5, 80
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +38,10 @@ def keep_clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least id, of equal ids the first in the table."""
+    """Of each component of near duplicates (five-word shingles, a Jaccard likeness of 0.8 or more) the document with the
+    least id, of equal ids the first in the table."""
     numbered = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
-    found = stage(jaccard_components(docs), "near-duplicates")
+    found = stage(jaccard_components(docs, NEAR_SIZE, NEAR_PERCENT), "near-duplicates")
     linked = found.where("n_shingles > 0")
     first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("first"))
     keep = first.select("first.row").unionByName(found.where("n_shingles = 0").select("row"))
