@@ -40,8 +40,9 @@ def keep_clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five-word shingles, a Jaccard likeness of 0.8 or more) the document with the
     least id, of equal ids the first in the table."""
-    numbered = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
-    found = stage(jaccard_components(docs, NEAR_SIZE, NEAR_PERCENT), "near-duplicates")
+    # written once: numbers of two scans can differ
+    numbered = stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "near-numbered")
+    found = stage(jaccard_components(numbered, NEAR_SIZE, NEAR_PERCENT, F.col("row")), "near-duplicates")
     linked = found.where("n_shingles > 0")
     first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("first"))
     keep = first.select("first.row").unionByName(found.where("n_shingles = 0").select("row"))

@@ -35,3 +35,11 @@ def test_near_duplicates_link_from_four_fifths_on(spark):
     docs = spark.createDataFrame(rows, DOCS).coalesce(1)
     got = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()
     assert Counter(r.doc_id for r in got) == kept_by_brute_force(rows)
+
+
+def test_near_duplicates_are_numbered_once(spark):
+    """A shuffle deals the rows by the columns that are read, so two scans of this table number its documents differently."""
+    rows = copies_around_the_threshold()
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in got) == kept_by_brute_force(rows)

@@ -187,7 +187,7 @@ def frequent_hashes(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(most.column("hash").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def signatures(docs: DataFrame, size: int, percent: int, row: Column) -> DataFrame:
     """row, doc_id, node (the set's name; null for an empty set), n, prefix, last, maps of every document."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_hashes(docs, size))
 
@@ -205,7 +205,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             columns = [pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(routes, pa.list_(pa.int64())), pa.array(lasts, pa.int64()), pa.array(maps, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", "node", "n", "prefix", "last", "maps"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "row long, doc_id long, node long, n long, prefix array<long>, last long, maps binary")
 
 
@@ -273,9 +273,10 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(joined.select("node", F.coalesce("to", "comp").alias("comp")), "join-labels")
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, row (the document's number in the scan) of every document."""
-    signed = stage(signatures(docs, size, percent), "join-signatures")
+def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, row: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, row of every document. row is a column of docs, a different long in each document;
+    without one it is the document's number in this one scan, which says nothing about any other scan of docs."""
+    signed = stage(signatures(docs, size, percent, F.monotonically_increasing_id() if row is None else row), "join-signatures")
     full = signed.where("node is not null")
     classes = full.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     classes = stage(classes, "join-classes")
