@@ -100,6 +100,39 @@ def test_extraction_of_pages(spark, model):
     assert html_text.extract_text(rows.limit(0), model).count() == 0
 
 
+def test_marks_have_no_number_of_their_own(model):
+    utility = "md:px-4 lg:mt-2 sm:flex xl:grid dark:bg hover:ring focus:border"
+    article = "<article><h1>The title</h1><p>Some words of an article, as they are found in many places.</p></article>"
+    box = f'<div class="{utility} comments" id="sidebar"><p>Some words of someone else, as they are found below.</p></div>'
+    assert {"mark:comments", "mark:sidebar"} <= set(html_text.features(html_text.parse(box)[0][1]))
+    assert model.extract(f"<body>{article}{box}</body>") == model.extract(f"<body>{article}</body>")
+
+
+@pytest.mark.parametrize(
+    ("inner", "shown"),
+    [
+        ('<svg width="1" height="1"/>', ""),
+        ("<svg/>", ""),
+        ("<svg a=b/><text>no</text></svg>", ""),
+        ("<svg><style/><title>no</title><svg/><text>no</text></svg>", ""),
+        ("<math/>", ""),
+        ("<noscript>", ""),
+        ("<object data=x>", ""),
+        ("<template>", ""),
+        ("<noscript><noscript>no</noscript>", ""),
+        ("<noscript><script>'</noscript>'</script>", ""),
+        ("<template><template>no</template>no</template>", ""),
+        ("<select><option>no<option>no</select>", ""),
+        ("<option>no <b>no</b>", ""),
+        ("<textarea><p>no</textarea>", ""),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2 "),
+    ],
+)
+def test_skipped_elements_take_only_their_own(inner, shown):
+    _, blocks = html_text.parse(f"<article><p>First.</p>{inner}<p>Second.</p></article><p>Last.</p>")
+    assert " ".join(t for _, t in blocks) == f"First. {shown}Second. Last."
+
+
 # --- tokens ------------------------------------------------------------------------------------------------------
 
 

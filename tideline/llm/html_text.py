@@ -8,7 +8,8 @@ an attribute data-main="1" marks content and data-main="0" its end. Learning run
 without one, over TRAINING_PAGES invented pages with labels (a parameter and the bound of what the model is fitted on).
 
 Text rules: character references are decoded; white space inside a block becomes one space; blocks are joined in page
-order by a newline. Scripts, styles, heads, comments and markup never count as text. Unclosed and misnested tags are
+order by a newline. Scripts, styles, heads, comments and markup never count as text; formulas do. A skipped element that is
+not raw text and has no end tag, as any svg closed by "/>", takes nothing after its tag with it. Unclosed and misnested tags are
 closed as browsers do for the elements in CLOSES. Pages of any length are parsed whole, in one pass.
 
 Defined cases: null or empty html gives an empty text; html without any tag is one block under the root; rows are
@@ -40,10 +41,16 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""(class|id|role|data-main|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 #: Elements whose text is never shown or never part of a page's body.
-SKIPPED = frozenset("script style noscript template title textarea iframe svg math object select option datalist".split())
+SKIPPED = frozenset("script style noscript template title textarea iframe svg annotation annotation-xml object select option datalist".split())
+#: Of these, those whose content is plain text: all up to their end tag, or to the end of the page, is theirs.
+RAW = frozenset("script style title textarea iframe".split())
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*>", re.IGNORECASE) for tag in RAW}
+HEAD_END = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr"
+    " math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr"
+    " munder munderover semantics".split()
 )
 #: What an opening tag closes, if it is open in the same section.
 CLOSES = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
@@ -80,6 +87,51 @@ def attribute_marks(attributes: str) -> tuple[tuple[str, ...], str | None]:
     return tuple(dict.fromkeys(marks)), main
 
 
+def is_closed(attributes: str) -> bool:
+    """Whether a tag ends in "/>"; a slash at the end of a value without quotes is the value's."""
+    return attributes.endswith("/") and not re.search(r"=[^\s\"']*$", attributes)
+
+
+def raw_end(html: str, tag: str, at: int) -> int:
+    over = RAW_ENDS[tag].search(html, at)
+    return over.end() if over else len(html)
+
+
+def skipped_ends(html: str) -> dict[int, int]:
+    """Where each skipped element that is not raw ends, by the end of its opening tag; one without an end tag is left out, so
+    that it takes nothing with it."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in SKIPPED - RAW}
+    at = 0
+    while found := TAG.search(html, at):
+        at = found.end()
+        tag = (found[2] or found[5] or "").lower()
+        if tag not in SKIPPED:
+            continue
+        closed = is_closed(found[3] or found[6] or "")
+        if found[1] or found[4]:
+            if tag in opened and opened[tag]:
+                ends[opened[tag].pop()] = at
+        elif tag in RAW:
+            if not (closed and opened["svg"]):
+                at = raw_end(html, tag, at)
+        elif not (closed and tag == "svg"):
+            opened[tag].append(at)
+    return ends
+
+
+def option_end(html: str, at: int) -> int:
+    """An option holds text up to its end tag or to any other block."""
+    while found := TAG.search(html, at):
+        tag = (found[2] or found[5] or "").lower()
+        if tag == "option" and (found[1] or found[4]):
+            return found.end()
+        if tag and tag not in INLINE and tag not in VOID:
+            return found.start()
+        at = found.end()
+    return len(html)
+
+
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(block nodes, parents before children; (node, text) of every block of text in page order)."""
     nodes = [Node("#root", -1)]
@@ -87,6 +139,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack = [0]
     pieces: list[str] = []
     links = link_words = 0
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal link_words
@@ -119,13 +172,22 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in INLINE or tag in VOID:
             if tag == "a":
                 links = 0 if closing else 1
-            elif tag in ("br", "hr", "img"):
+            elif tag in ("br", "hr", "img", "mtd"):
                 pieces.append(" ")
             continue
         if tag in SKIPPED or tag == "head":
-            if not closing:
-                over = re.compile(rf"</{re.escape(tag)}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.IGNORECASE).search(html, at)
-                at = over.end() if over else end if tag != "head" else at
+            if closing:
+                continue
+            if tag == "head":
+                over = HEAD_END.search(html, at)
+                at = over.end() if over else at
+            elif tag in RAW:
+                at = raw_end(html, tag, at)
+            elif tag == "option":
+                at = option_end(html, at)
+            else:
+                ends = skipped_ends(html) if ends is None else ends
+                at = ends.get(at, at)
             continue
         flush()
         links = 0
@@ -157,7 +219,7 @@ def features(node: Node) -> list[str]:
     if words:
         found.append(f"links:{'none' if not share else 'some' if share < 0.5 else 'most'}")
         found.append(f"stop:{node.stop}")
-    return found + [f"mark:{m}" for m in node.marks[:12]]
+    return found + [f"mark:{m}" for m in node.marks]
 
 
 def kind(node: Node) -> str:
