@@ -237,6 +237,18 @@ def test_rules_are_pruned(spark):
     assert rules == {("host:b",): 1.0}  # neither with host:a, which adds nothing, nor host:d, which is too rare
 
 
+def test_labels_go_before_category_words(spark):
+    urls = [f"http://shop{i}.poker.org/en/{i}" for i in range(30)] + [f"http://x{i}.rare.net/de/{100 + i}" for i in range(12)] + [f"http://y{i}.plain.net/de/{1000 + i}" for i in range(6000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(100 + i, 0, 0) for i in range(12)] + [(1000 + i, 1, 0) for i in range(6000)], "doc_id long, quality int, toxic int")
+    known = url_rules.labelled_urls(url_rules.known_urls(pages, labels))
+    assert known.count() == 6042 and known.where("label = 'block'").count() == 22
+    got = {r.page_id: r for r in url_rules.filter_urls(pages, labels).collect()}
+    assert [got[i].verdict for i in range(30)] == ["allow"] * 20 + ["block"] * 10  # a label, else the prior list
+    assert {got[i].verdict for i in range(30, 42)} == {"block"} and got[30].matched == "host:rare"  # 12 of 6,042 URLs are mined
+    assert {got[i].verdict for i in range(42, 6042)} == {"allow"}
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 

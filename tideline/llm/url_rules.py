@@ -1,12 +1,14 @@
 """URL filtering by association rules, in DataFrame functions only (Spark's FP-growth runs in the JVM).
 
 Labelled URLs become token sets (host labels, path words, digits as one token). FP-growth mines the token combinations
-that come with the label "block"; rules need a confidence and a support, and a rule that contains a rule of at least
-its confidence is dropped. Rules are matched through an inverted index that lists each rule under its rarest token; a
-candidate counts when the URL has all of its tokens. Fixed rules (host and path prefixes) go before mined ones.
+that come with the label "block" in all of them; rules need a confidence and a number of URLs, and a rule that contains a
+rule of at least its confidence is dropped. BLOCK_WORDS is a prior list: each word is a rule without being mined, but not for
+a URL whose own document is labelled clean. Rules are matched through an inverted index that lists each rule under its
+rarest token; a candidate counts when the URL has all of its tokens. Fixed rules (host and path prefixes) go before both.
 
 Defined cases: a null URL, or one without "://", has empty host and path, no tokens, no rule and the verdict "allow";
-repeated URLs are judged once and all get that verdict; without labelled URLs no rules are mined.
+repeated URLs are judged once and all get that verdict; without labelled URLs no rules are mined and only the prior list
+and the fixed rules decide.
 """
 
 from __future__ import annotations
@@ -26,11 +28,8 @@ FIXED_RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Host words that mark a URL as unwanted by category; they label URLs, the rules are mined.
+#: Host words that mark a URL as unwanted by category: prior rules, and the label of URLs whose document has none.
 BLOCK_WORDS = ("casino", "poker", "bets", "gambling", "lottery", "pills", "viagra", "adult", "porn", "xxx", "escort", "spam", "malware", "phishing", "warez", "ads", "track")
-SEEDS_PER_WORD = 20
-#: About so many URLs labelled through documents are mined (a hash decides which).
-MAX_LABELLED = 4000
 NO_RULES = "antecedent array<string>, confidence double, support double"
 
 
@@ -62,35 +61,36 @@ def fixed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return rule, verdict
 
 
-def seed_urls(spark: SparkSession, words: Sequence[str] = BLOCK_WORDS) -> DataFrame:
-    """tokens, label: SEEDS_PER_WORD examples of every unwanted host word, so that small inputs have support for it too.
-    They hold that word alone and so support no other token."""
-    rows = spark.range(SEEDS_PER_WORD).withColumn("word", F.explode(F.array(*[F.lit("host:" + w) for w in words])))
-    return rows.select(F.array("word").alias("tokens"), F.lit("block").alias("label"))
+def prior_rules(spark: SparkSession, words: Sequence[str] = BLOCK_WORDS) -> DataFrame:
+    """antecedent, confidence of the unwanted host words."""
+    rules = F.array(*[F.array(F.lit("host:" + w)) for w in words])
+    return spark.range(1).select(F.explode(rules).alias("antecedent"), F.lit(1.0).alias("confidence"))
 
 
-def labelled_urls(pages: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """tokens, label. A host with an unwanted word is "block"; else the label of the document whose number ends the path
-    decides: low quality or toxic is "block"."""
+def known_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """host, path, tokens, bad of every URL: 1 if the document whose number ends the path is of low quality or toxic, 0 if it
+    is labelled and neither, else null."""
     host, path = url_parts(F.col("url"))
-    urls = pages.select(host.alias("host"), path.alias("path")).where("host <> ''").distinct()
+    urls = pages.select(host.alias("host"), path.alias("path")).distinct()
     urls = urls.withColumn("doc_id", F.regexp_extract("path", r"^/[a-z]+/(\d{1,18})(?:\.html|/)?$", 1).try_cast("long"))
     marks = labels.groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
-    joined = urls.join(marks, "doc_id", "left").withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
+    return urls.join(marks, "doc_id", "left").select("host", "path", url_tokens(F.col("host"), F.col("path")).alias("tokens"), "bad")
+
+
+def labelled_urls(urls: DataFrame) -> DataFrame:
+    """tokens, label of known_urls: the document's label, where it has none "block" for a host with an unwanted word."""
     unwanted = F.arrays_overlap("tokens", F.array(*[F.lit("host:" + w) for w in BLOCK_WORDS]))
-    label = F.when(unwanted | (F.col("bad") == 1), "block").when(F.col("bad") == 0, "allow")
-    known = joined.select("host", "path", "tokens", label.alias("label")).where("label is not null")
-    share = max_labelled / max(1, known.count())
-    return known.where(F.pmod(F.xxhash64("host", "path"), F.lit(1 << 20)) < int(share * (1 << 20))).select("tokens", "label")
+    label = F.when(F.col("bad") == 1, "block").when(F.col("bad") == 0, "allow").when(unwanted, "block")
+    return urls.where("host <> ''").select("tokens", label.alias("label")).where("label is not null")
 
 
-def mine_rules(labelled: DataFrame, min_confidence: float = 0.9, min_support: float = 0.004, min_count: int = 10) -> DataFrame:
-    """antecedent, confidence, support of the rules for "block" that stay after pruning."""
+def mine_rules(labelled: DataFrame, min_confidence: float = 0.9, min_count: int = 10) -> DataFrame:
+    """antecedent, confidence, support of the rules for "block" that stay after pruning; min_count URLs must bear one out."""
     n = labelled.count()
-    if not n:
+    if n < max(1, min_count):
         return labelled.sparkSession.createDataFrame([], NO_RULES)
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_count - 0.5) / n), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", "=block") & ~F.exists("antecedent", lambda t: t.startswith("=")))
     rules = rules.select("antecedent", "confidence", "support").withColumn("rule_id", F.xxhash64(F.array_sort("antecedent")))
     parts = rules.select(F.col("rule_id").alias("part_id"), F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"), F.col("antecedent")[0].alias("token"))
@@ -104,20 +104,24 @@ def mine_rules(labelled: DataFrame, min_confidence: float = 0.9, min_support: fl
 def rule_index(rules: DataFrame, labelled: DataFrame) -> DataFrame:
     """token, antecedent, confidence: each rule under the token that is rarest among the labelled URLs."""
     counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    postings = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(counts, "token")
+    postings = rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(counts, "token", "left")
+    postings = postings.withColumn("count", F.coalesce("count", F.lit(0)))
     return postings.groupBy("antecedent").agg(F.min(F.struct("count", "token")).alias("key"), F.max("confidence").alias("confidence")).select(F.col("key.token").alias("token"), "antecedent", "confidence")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = FIXED_RULES, **mining) -> DataFrame:
-    """page_id, host, path, rule, verdict, matched (the tokens of the best mined rule, else null) of every page."""
+    """page_id, host, path, rule, verdict, matched (the tokens of the best mined or prior rule, else null) of every page."""
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    labelled = labelled_urls(pages, labels).unionByName(seed_urls(pages.sparkSession)).cache()
-    index = rule_index(mine_rules(labelled, **mining), labelled)
-    urls = parts.select("host", "path").distinct().withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
+    urls = known_urls(pages, labels)
+    labelled = labelled_urls(urls).cache()
+    mined = mine_rules(labelled, **mining).select("antecedent", "confidence")
+    index = rule_index(mined.unionByName(prior_rules(pages.sparkSession)), labelled)
     hits = urls.withColumn("token", F.explode("tokens")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    is_prior = (F.size("antecedent") == 1) & F.arrays_overlap("antecedent", F.array(*[F.lit("host:" + w) for w in BLOCK_WORDS]))
+    hits = hits.where(~(is_prior & F.coalesce(F.col("bad") == 0, F.lit(False))))
     best = hits.groupBy("host", "path").agg(F.max(F.struct("confidence", F.concat_ws(" ", F.array_sort("antecedent")).alias("matched"))).alias("best"))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
-    mined = F.when(F.col("best").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    found = F.when(F.col("best").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     judged = parts.join(best, ["host", "path"], "left")
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, mined).alias("verdict"), F.col("best.matched").alias("matched"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, found).alias("verdict"), F.col("best.matched").alias("matched"))
