@@ -526,9 +526,9 @@ def test_components_equal_brute_force(spark, docs, case):
     assert Counter(map(tuple, got)) == Counter(components(rows))
 
 
-def test_long_routes_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "ROUTE_BLOCK", 4)
-    monkeypatch.setattr(jaccard_join, "STARS", ())
+@pytest.mark.parametrize("hashes", [40, 400, 3000])
+def test_long_groups_are_cut_into_blocks(spark, monkeypatch, hashes):
+    monkeypatch.setattr(jaccard_join, "BLOCK_HASHES", hashes)
     rows = near_copies()
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_shingles", "component_id").collect()
     assert Counter(map(tuple, got)) == Counter(components(rows))
@@ -538,20 +538,82 @@ def test_empty_join(none):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
-def test_tree_keeps_every_link():
-    """The traversal's candidates hold all linked pairs of different components and few others."""
-    texts_ = [t for _, t in near_copies()]
-    sets = sorted({tuple(jaccard_join.shingle_set(t)) for t in texts_}, key=len)
-    sets = [np.array(s, dtype=np.uint64) for s in sets]
+def near_sets() -> list[np.ndarray]:
+    return [np.array(s, dtype=np.uint64) for s in sorted({tuple(jaccard_join.shingle_set(t)) for _, t in near_copies()}, key=lambda s: (len(s), s))]
+
+
+def brute_links(sets: list[np.ndarray], percent: int) -> set[tuple[int, int]]:
+    return {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if 100 * (k := len(np.intersect1d(x, y))) >= percent * (len(x) + len(y) - k)}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_linked_sets_share_a_route(percent):
+    sets = near_sets()
+    edges = jaccard_join.slot_edges(percent)
+    frequent = np.unique(np.concatenate([s[::7] for s in sets]))
+    found = defaultdict(list)
+    for k, s in enumerate(sets):
+        order = jaccard_join.prefix(s, frequent, percent)
+        rest = np.setdiff1d(s, frequent)
+        assert order.tolist() == np.concatenate((rest, np.intersect1d(s, frequent)))[: len(s) - -(-len(s) * percent // 100) + 1].tolist()
+        for way in jaccard_join.routes(order, len(s), percent, edges)[1].tolist():
+            found[way >> 2].append((k, way & 3))
+    met = {(a, b) for members in found.values() for a, x in members for b, y in members if a < b and x | y == 3}
+    links = brute_links(sets, percent)
+    assert links and links <= met
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_tree_keeps_every_link(percent):
+    """The traversal's pairs hold all linked pairs of different components, each once, and few others."""
+    sets = near_sets()
+    n = np.array([len(s) for s in sets])
+    maps = jaccard_join.folded([jaccard_join.bitmap(s) for s in sets])
+    comp, side = np.arange(len(sets)), np.zeros(len(sets), dtype=np.int64)
+    walk = lambda comp, side: [tuple(sorted(p)) for a, b in jaccard_join.Tree(n, comp, side, maps, percent).pairs() for p in zip(a.tolist(), b.tolist(), strict=True)]
+    found, links = walk(comp, side), brute_links(sets, percent)
+    assert len(found) == len(set(found)) and links <= set(found) and len(found) < len(sets) ** 2 / 20
+    assert not walk(np.zeros_like(comp), side)
+    halves = 1 + comp % 2
+    assert {p for p in links if (p[0] + p[1]) % 2} <= set(walk(comp, halves)) <= {p for p in found if (p[0] + p[1]) % 2}
+    kept = jaccard_join.with_partner(n, comp, side, [jaccard_join.bitmap(s) for s in sets], percent)
+    assert kept.tolist() == np.isin(comp, np.array(found).ravel()).tolist()
+
+
+def test_links_span_what_all_links_join():
+    sets = near_sets()
+    n, comp = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2
+    found = jaccard_join.spanning_links(n, comp, np.zeros_like(comp), sets, 85)
+    links = brute_links(sets, 85)
+    assert {tuple(sorted(p)) for p in found} <= links
+
+    def joined(pairs) -> list[int]:
+        label = comp.copy()
+        for a, b in pairs:
+            label[label == label[a]] = label[b]
+        return [int(np.flatnonzero(label == x)[0]) for x in label]
+
+    assert joined(found) == joined(links) and len(found) < len(sets)
+
+
+def test_a_cloud_below_the_threshold_takes_little_memory():
+    """8,192 sets, near each other and not linked: every pair is looked at, none is kept."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = []
+    for _ in range(8192):
+        own = base.copy()
+        own[rng.choice(100, 12, replace=False)] = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+        sets.append(np.unique(own))
     n = np.array([len(s) for s in sets])
-    maps = np.stack([jaccard_join.bitmap(jaccard_join.prefix(s, s[:0])[0]) for s in sets])
-    comp = np.arange(len(sets))
-    left, right = jaccard_join.Tree(n, comp, maps, 85).pairs()
-    found = set(zip(left.tolist(), right.tolist(), strict=True))
-    links = {(i, j) for j in range(len(sets)) for i in range(j) if jaccard_join.linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j])), 85)}
-    assert links <= found and len(found) < len(sets) ** 2 / 4
-    same = jaccard_join.Tree(n, np.zeros_like(comp), maps, 85).pairs()
-    assert not len(same[0])
+    tracemalloc.start()
+    found = jaccard_join.spanning_links(n, np.arange(len(n)), np.zeros(len(n), dtype=np.int64), sets, 85)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert all(jaccard_join.linked(100, 100, len(np.intersect1d(sets[a], sets[b])), 85) for a, b in found) and len(found) < 100
 
 
 def test_long_components_join(spark):
