@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a local test), a temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder and a cluster an error,
+    as its executors would not see the same one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = os.path.join(tempfile.gettempdir(), f"tideline-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), f"tideline-{os.getpid()}")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -38,6 +42,11 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that few rows are Python objects at a time."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import mix64, run_starts, stage
+from tideline.llm.common import mix64, run_starts, slices, stage
 from tideline.llm.fingerprints import shingle_hashes, word_hashes
 
 SIZE, PERCENT = 4, 85
@@ -277,11 +277,6 @@ def frequent_hashes(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(most.column("hash").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """A batch in parts, so that few rows are Python objects at a time."""
-    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
-
-
 def signatures(docs: DataFrame, size: int, percent: int, row: Column) -> DataFrame:
     """row, doc_id, node (the set's name; null for an empty set), n, slot, routes, map of every document; routes and map are
     there once a task for each set, so a large group of copies weighs as many sets as it has tasks."""

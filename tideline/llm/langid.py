@@ -20,9 +20,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import run_starts
+from tideline.llm.common import run_starts, slices
 
 PROFILE = 400
 DOC_GRAMS = 300
@@ -130,22 +131,27 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE, per_lang: int = TRAIN_P
         for lang, own in sums.items():
             yield pd.DataFrame({"lang": lang, "gram": list(own), "n": list(own.values())})
 
-    counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).cache()
-    ranked = {lang: [r.gram for r in counts.where(F.col("lang") == lang).orderBy(F.col("n").desc(), "gram").limit(size).collect()] for lang in sorted(known)}
-    counts.unpersist()
-    return Profiles({lang: grams_ for lang, grams_ in ranked.items() if grams_}, size)
+    counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # size rows a language
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
+    ranked: dict[str, list[int]] = {}
+    for r in sorted(counts.withColumn("place", place).where(F.col("place") <= size).collect(), key=lambda r: (r.lang, r.place)):
+        ranked.setdefault(r.lang, []).append(r.gram)
+    return Profiles(ranked, size)
 
 
 def predict_languages(docs: DataFrame, profiles: Profiles, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The named columns of docs, lang_pred, score."""
-    own = docs.select(*columns, F.col("text").alias("judged_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1])
+    at = columns.index("text") if "text" in columns else len(columns)  # a text goes to Python once
+    own = docs.select(*columns) if "text" in columns else docs.select(*columns, F.col("text").alias("judged_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[: len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(t) for t in batch.column("judged_text").to_pylist()]
-            columns_ = [batch.column(k) for k in range(batch.num_columns - 1)]
-            columns_ += [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns_, [*batch.schema.names[:-1], "lang_pred", "score"])
+            for part in slices(batch):
+                found = [profiles.predict(t) for t in part.column(at).to_pylist()]
+                own_ = [part.column(k) for k in range(len(columns))]
+                own_ += [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(own_, [*columns, "lang_pred", "score"])
 
     return own.mapInArrow(run, kinds + ", lang_pred string, score double")

@@ -1,7 +1,7 @@
 """Packing documents, in order, into sequences of at most `width` tokens.
 
-Documents are range-partitioned by id into parts of about PART_CHARS characters, so that a part's last, open sequence
-is a small share. Within a part, runs of RUN_TOKENS are cut by dynamic programming: cut places are ends of documents
+Documents are range-partitioned by id into parts of about PART_CHARS characters, MAX_PARTS at most (as the ids that a range
+partitioning samples at the driver go by the number of parts), so that a part's last, open sequence is a small share. Within a part, runs of RUN_TOKENS are cut by dynamic programming: cut places are ends of documents
 and sentences, and inside longer stretches without such an end every SPAN tokens. A window costs its padding plus a
 penalty for the kind of cut at its end. With g(i) = cost(i) + position(i),
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tideline.llm.tokens import tokenizer
 
 PART_CHARS = 8_000_000
+MAX_PARTS = 20_000
 RUN_TOKENS = 2_000_000
 SPAN = 64
 #: Words whose ids a worker keeps, about 150 bytes each.
@@ -95,7 +96,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_
     """One row per piece: PIECES."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = rows.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
-    parts = max(1, -(-chars // part_chars))
+    parts = min(max(1, -(-chars // part_chars)), MAX_PARTS)
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import run_starts
+from tideline.llm.common import run_starts, slices
 from tideline.llm.fingerprints import shingle_hashes
 
 WINDOW = 5
@@ -118,7 +118,7 @@ def judge_quality(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), with_
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1]) + ", " + MEASURES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for text in batch.column("judged_text").to_pylist():
                 text = text or ""
@@ -126,7 +126,7 @@ def judge_quality(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), with_
                 failed = measures[0] < MIN_WORDS or 100 * measures[4] > MAX_REPEATED_PERCENT * measures[0]
                 clean, share, _ = clean_lines(text)
                 rows.append((*measures, failed, not failed and share >= min_kept, share, clean if with_text else None))
-            values = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(9)]
+            values = [list(c) for c in zip(*rows, strict=True)]
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.string()]
             names = [x.split()[0] for x in MEASURES.split(", ")]
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
