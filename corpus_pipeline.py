@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
 Parquet to the shared folder and reads again as the next stage's docs. All but the last return the columns of documents.
+
+Defined cases, for every stage: only COLUMNS of docs are read, so others may have any names; an empty table gives an empty one
+with the stage's columns; ids may be null or occur more than once, and rows that are equal in all columns fare alike, except
+that of near duplicates one row stays. Null and empty texts, and texts without letters, are in no language and go in the
+first stage; the later ones are defined for them too: the quality rules reject them, near duplicates keeps each of them, the
+mix never takes them, and packing makes a piece of the end id alone. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -25,14 +31,15 @@ NEAR_SIZE, NEAR_PERCENT = 5, 80
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; a missing lang is filled in by the prediction. Profiles come from docs' own labels."""
+    """Documents in a learned language; a missing lang is filled in by the prediction. Profiles come from docs' own labels; where
+    no document has one, no language is known and all documents go."""
     judged = predict_languages(docs, learn_profiles(docs), COLUMNS)
     kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def keep_clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines that fail."""
+    """Documents that pass the quality rules, without the lines that fail; n_chars is that of what is left."""
     kept = judge_quality(docs, ("doc_id", "lang", "source")).where("kept")
     return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
@@ -55,6 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of which sequences of 2048 tokens are made; a document that the mix takes twice is packed twice."""
     return pack_documents(docs, word_tokenizer())
 
 
