@@ -6,8 +6,9 @@ its id and w its quality weight, and documents are taken in ascending key until
 last places, `fits` at most, go to remaining documents, each the one whose size fits what is left best, as long as that
 brings the source nearer.
 
-The sort within a source is done in two levels, so a source with a third of all rows is no single task: keys fall into
-`buckets` ranges, range totals are prefix-summed, and only the range in which the cut lies is sorted.
+A source with a third of all rows is no single task's to sort: its keys are cut into `buckets` ranges at their own quantiles,
+so that ranges hold about as many documents whatever their weights, the ranges' sizes are prefix-summed, and the range in
+which the rest is reached is cut up again, until it holds no more than `sort_rows` documents; these are sorted.
 
 Defined cases: null text has size 0 and is never taken; a null source is a source of its own, last in order; null ids
 are hashed by their text; rows equal in id and text share one fate; an empty table gives an empty plan.
@@ -15,13 +16,13 @@ are hashed by their text; rows equal in id and text share one fate; an empty tab
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WORD, hex_fraction, stage, text_or_empty
+from tideline.llm.common import WORD, Scratch, hex_fraction, stage, text_or_empty
 
 SYMBOLS = "[#*$%&|<>!]"
 
@@ -32,17 +33,15 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.lit(1.0) - 4.0 * share)
 
 
-def mix_columns(seed: int, buckets: int) -> dict[str, Column]:
+def mix_columns(seed: int) -> dict[str, Column]:
     """What the plan needs of a document; the same expressions serve to apply it."""
     text = text_or_empty()
     identity = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text)))
     u = hex_fraction(F.md5(F.concat(F.lit(f"{seed}:"), identity)))
-    key = -F.log(u) / quality_weight(text)
     return {
         "mix_source": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~")),
         "mix_size": F.regexp_count(text, F.lit(WORD)).cast("long"),
-        "mix_key": key,
-        "mix_bucket": F.least(F.floor((1 - F.exp(-key)) * buckets), F.lit(buckets - 1)).cast("int"),
+        "mix_key": -F.log(u) / quality_weight(text),
     }
 
 
@@ -69,45 +68,59 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
 
 
 class Mix:
-    """A plan: `documents` (one light row each), `sources` (targets) and `cuts` (what each key range gives)."""
+    """A plan: `documents` (one light row each), `sources` (targets) and `cuts` (what each source gives)."""
 
-    def __init__(self, docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, seed: int = 17, buckets: int = 2048, fits: int = 5):
-        self.fits = fits
-        self.columns = mix_columns(seed, buckets)
+    def __init__(self, docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3, seed: int = 17, buckets: int = 128, fits: int = 5, sort_rows: int = 10_000):
+        self.buckets, self.fits, self.sort_rows = buckets, fits, sort_rows
+        self.columns = mix_columns(seed)
         light = docs.select("doc_id", "source", *[c.alias(n) for n, c in self.columns.items()])
         self.documents = stage(light, "mix-documents")
-        ranges = self.documents.groupBy("mix_source", "mix_bucket").agg(F.first("source").alias("source"), F.sum("mix_size").alias("range_size"))
-        ranges = stage(ranges, "mix-ranges")
-        sizes = ranges.groupBy("mix_source").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size"))
+        sizes = self.documents.groupBy("mix_source").agg(F.first("source").alias("source"), F.sum("mix_size").alias("source_size"))
         targets = source_targets(sizes.select("source", "source_size"), weights, cap)
-        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0))
-        self.sources = (
-            targets.withColumn("mix_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~")))
-            .withColumn("epochs", whole.cast("long"))
-            .withColumn("rest", F.greatest(F.round("target").cast("long") - F.col("epochs") * F.col("source_size"), F.lit(0)))
-        )
-        self.sources = stage(self.sources, "mix-sources")
-        self.cuts = self._cuts(ranges)
-
-    def _cuts(self, ranges: DataFrame) -> DataFrame:
-        """Per source and key range: the greatest key taken in the last epoch, and the keys of those that fit what is left best."""
-        so_far = F.sum("range_size").over(W.partitionBy("mix_source").orderBy("mix_bucket"))
-        table = ranges.drop("source").withColumn("upto", so_far).join(self.sources.drop("source"), "mix_source")
-        table = table.withColumn("before", F.col("upto") - F.col("range_size"))
-        table = table.withColumn("cut_here", (F.col("before") <= F.col("rest")) & (F.col("upto") > F.col("rest")))
-        table = stage(table, "mix-table")
-        inside = self.documents.join(table.where("cut_here").select("mix_source", "mix_bucket", "before", "rest"), ["mix_source", "mix_bucket"])
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0)).cast("long")
+        rest = F.greatest(F.round("target").cast("long") - whole * F.col("source_size"), F.lit(0))
+        full = (rest >= F.col("source_size")) & (F.col("source_size") > 0)  # a target half a word below one epoch more
+        sources = targets.withColumn("mix_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~")))
+        self.sources = stage(sources.withColumns({"epochs": whole + full.cast("long"), "rest": F.when(full, F.lit(0)).otherwise(rest)}), "mix-sources")
+        with Scratch(docs.sparkSession) as scratch:
+            self.cuts = stage(self._cuts(scratch.stage), "mix-cuts")
+
+    def _narrowed(self, stage: Callable[..., DataFrame] = stage) -> tuple[DataFrame, DataFrame]:
+        """Per source that has a rest: the keys (over low, up to high; a null is no bound) among which the rest is reached, and
+        the size of what comes before them; and the documents there."""
+        spans = self.sources.where("rest > 0").select("mix_source", "rest", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(0).cast("long").alias("before"))
+        shares = F.lit([k / self.buckets for k in range(1, self.buckets)])
+        keys = self.documents.where("mix_size > 0").select("mix_source", "mix_key", "mix_size")
+        while True:
+            inside = keys.join(spans, "mix_source").where((F.col("low").isNull() | (F.col("mix_key") > F.col("low"))) & (F.col("high").isNull() | (F.col("mix_key") <= F.col("high"))))
+            counts = inside.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n"), F.min("mix_key").alias("least"), F.max("mix_key").alias("most"), F.percentile_approx("mix_key", shares, 10_000).alias("edges"))
+            counts = stage(counts, "mix-ranges")
+            wide = counts.where((F.col("n") > self.sort_rows) & (F.col("least") < F.col("most")))
+            if not wide.limit(1).count():
+                return spans, inside
+            # the least key is an edge and the greatest none, so that no range is all of them
+            edges = F.filter(F.concat(F.array("least"), F.col("edges")), lambda x: x < F.col("most"))
+            placed = inside.join(wide.select("mix_source", edges.alias("edges")), "mix_source")
+            ranges = placed.groupBy("mix_source", F.size(F.filter("edges", lambda x: x < F.col("mix_key"))).alias("range")).agg(F.sum("mix_size").alias("size"), F.max("mix_key").alias("top"))
+            earlier = W.partitionBy("mix_source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+            ranges = ranges.withColumns({"so_far": F.coalesce(F.sum("size").over(earlier), F.lit(0)), "under": F.max("top").over(earlier)})
+            reached = ranges.join(spans, "mix_source").where((F.col("before") + F.col("so_far") <= F.col("rest")) & (F.col("before") + F.col("so_far") + F.col("size") > F.col("rest")))
+            found = reached.select("mix_source", "rest", F.coalesce("under", "low").alias("low"), F.col("top").alias("high"), (F.col("before") + F.col("so_far")).alias("before"))
+            spans = stage(spans.join(wide.select("mix_source"), "mix_source", "left_anti").unionByName(found), "mix-spans")
+
+    def _cuts(self, stage: Callable[..., DataFrame]) -> DataFrame:
+        """Per source: the greatest key taken in the last epoch, and the keys of those that fit what is left best."""
+        spans, inside = self._narrowed(stage)
         # range frame: documents with one key share one fate
         running = F.col("before") + F.sum("mix_size").over(W.partitionBy("mix_source").orderBy("mix_key"))
         taken = inside.withColumn("running", running).where("running <= rest").groupBy("mix_source").agg(F.max("mix_key").alias("last_key"), F.max("running").alias("taken_so_far"))
-        last = table.where("cut_here").select("mix_source", F.col("mix_bucket").alias("cut_bucket"), "before", "rest").join(taken, "mix_source", "left")
-        last = last.select(
-            "mix_source", "cut_bucket", F.coalesce("last_key", F.lit(-1.0)).alias("last_key"), (F.col("rest") - F.coalesce("taken_so_far", "before")).alias("left_over")
-        )
+        last = spans.join(taken, "mix_source", "left")
+        last = last.select("mix_source", F.coalesce("last_key", "low", F.lit(-1.0)).alias("last_key"), (F.col("rest") - F.coalesce("taken_so_far", "before")).alias("left_over"))
         last = stage(last, "mix-last")
-        sizes = self.documents.groupBy("mix_source", "mix_bucket", "mix_size").agg(F.min("mix_key").alias("low"), F.max("mix_key").alias("mix_key"))
-        beyond = sizes.join(last, "mix_source").where((F.col("mix_bucket") > F.col("cut_bucket")) | ((F.col("mix_bucket") == F.col("cut_bucket")) & (F.col("mix_key") > F.col("last_key"))))
-        beyond = stage(beyond.where((F.col("mix_size") > 0) & (F.col("mix_size") < 2 * F.col("left_over"))).select("mix_source", "mix_size", "mix_key"), "mix-beyond")
+        beyond = self.documents.join(last, "mix_source").where((F.col("mix_key") > F.col("last_key")) & (F.col("mix_size") > 0) & (F.col("mix_size") < 2 * F.col("left_over")))
+        # of each size as many keys as may be taken, and a few of each are enough
+        beyond = beyond.groupBy("mix_source", "mix_size", F.pmod(F.xxhash64("mix_key"), F.lit(self.fits)).alias("turn")).agg(F.min("mix_key").alias("mix_key"))
+        beyond = stage(beyond.select("mix_source", "mix_size", "mix_key"), "mix-beyond")
         last = last.withColumn("fit_keys", F.array().cast("array<double>"))
         for _ in range(self.fits):
             open_ = beyond.join(last.select("mix_source", "left_over", "fit_keys"), "mix_source")
@@ -115,14 +128,12 @@ class Mix:
             best = open_.groupBy("mix_source").agg(F.min(F.struct(F.abs(F.col("mix_size") - F.col("left_over")).alias("off"), "mix_key", "mix_size")).alias("best"))
             last = last.join(best, "mix_source", "left").select(
                 "mix_source",
-                "cut_bucket",
                 "last_key",
                 (F.col("left_over") - F.coalesce("best.mix_size", F.lit(0))).alias("left_over"),
                 F.when(F.col("best").isNull(), F.col("fit_keys")).otherwise(F.concat("fit_keys", F.array("best.mix_key"))).alias("fit_keys"),
             )
             last = stage(last, "mix-fit")
-        cuts = table.drop("before", "upto", "range_size", "cut_here").join(last.drop("left_over"), "mix_source", "left")
-        return stage(cuts, "mix-cuts")
+        return self.sources.drop("source", "rest").join(last.drop("left_over"), "mix_source", "left")
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """row (all columns of docs) and mix_copies: how often the mix takes it (0: not at all)."""
@@ -135,12 +146,10 @@ class Mix:
         return rows.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
     def _copies(self, rows: DataFrame) -> DataFrame:
-        at = F.col("mix_bucket")
-        taken = (at < F.col("cut_bucket")) | ((at == F.col("cut_bucket")) & (F.col("mix_key") <= F.col("last_key"))) | F.coalesce(F.array_contains("fit_keys", F.col("mix_key")), F.lit(False))
-        extra = F.when(F.col("cut_bucket").isNull(), F.lit(0)).otherwise(taken.cast("int"))
-        copies = F.when(F.col("mix_size") > 0, F.col("epochs") + extra).otherwise(F.lit(0)).cast("long")
-        joined = rows.join(self.cuts, ["mix_source", "mix_bucket"], "left")
-        return joined.withColumn("mix_copies", copies).drop("epochs", "rest", "cut_bucket", "last_key", "fit_keys")
+        taken = (F.col("mix_key") <= F.col("last_key")) | F.array_contains("fit_keys", F.col("mix_key"))
+        copies = F.when(F.col("mix_size") > 0, F.col("epochs") + F.coalesce(taken, F.lit(False)).cast("int")).otherwise(F.lit(0)).cast("long")
+        joined = rows.join(self.cuts, "mix_source", "left")
+        return joined.withColumn("mix_copies", copies).drop("epochs", "last_key", "fit_keys")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
