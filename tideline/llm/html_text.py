@@ -1,9 +1,11 @@
 """Main text of HTML pages by a tree-structured graphical model.
 
 The block elements of a page form a tree. Each node is "content" or not; its tag, attribute words, length, link share
-and punctuation give a node potential, and each edge has a potential P(child state | parent state, kind of child).
+and punctuation, and for boxes the length and link share of all in them, give a node potential, and each edge has a potential
+P(child state | parent state, kind of child, whether the child lies loose on the page).
 Sum-product messages run from the leaves to the root and back, which gives every node its exact content marginal; the
-text of nodes with a marginal over one half is kept. All potentials are smoothed counts over labelled pages, in which
+text of nodes with a marginal over one half is kept; if there is none, but the page is likely enough to have content at all,
+marginals given that it has. All potentials are smoothed counts over labelled pages, in which
 an attribute data-main="1" marks content and data-main="0" its end. Learning runs over a DataFrame of such pages;
 without one, over TRAINING_PAGES invented pages with labels (a parameter and the bound of what the model is fitted on).
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -30,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRAINING_PAGES = 400
+TRAINING_PAGES = 1000
+#: Where no block is content by itself, but some content is at least this likely, marginals are taken given that there is some.
+MIN_CONTENT = 0.05
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|data-main|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
@@ -57,17 +62,32 @@ CLOSES = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "
 #: Where such closing stops.
 SECTIONS = frozenset("html body ul ol dl table article section aside nav header footer main div form blockquote".split())
 #: Elements that may stand in a paragraph; any other block closes it.
-KINDS = {"p": "text", "h1": "head", "h2": "head", "h3": "head", "h4": "head", "h5": "head", "h6": "head", "li": "item", "dt": "item", "dd": "item", "td": "item", "th": "item"}
+KINDS = {"p": "text", "h1": "head", "h2": "head", "h3": "head", "h4": "head", "h5": "head", "h6": "head", "li": "item", "dt": "item", "dd": "item", "td": "cell", "th": "cell"}
+#: What makes no place of its own: blocks straight in them lie loose on the page.
+PAGE = frozenset(("#root", "html", "body"))
 NAMED = frozenset("article main nav header footer aside form section div ul ol dl table tr body html blockquote pre figure figcaption button fieldset address".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "marks", "words", "link_words", "stop", "main")
+    """words, link_words: of its own text; below, links_below: of all text in it; loose: whether it lies straight on the page."""
+
+    __slots__ = ("tag", "parent", "marks", "words", "link_words", "stop", "main", "below", "links_below", "loose")
 
     def __init__(self, tag: str, parent: int, marks: tuple[str, ...] = (), main: bool = False):
         self.tag, self.parent, self.marks, self.main = tag, parent, marks, main
-        self.words = self.link_words = 0
-        self.stop = False
+        self.words = self.link_words = self.below = self.links_below = 0
+        self.stop = self.loose = False
+
+
+def sum_up(nodes: list[Node]) -> None:
+    """Fills in what nodes (parents before children) have from others."""
+    for node in nodes:
+        node.below, node.links_below = node.words, node.link_words
+        node.loose = node.parent >= 0 and nodes[node.parent].tag in PAGE
+    for node in reversed(nodes[1:]):
+        parent = nodes[node.parent]
+        parent.below += node.below
+        parent.links_below += node.links_below
 
 
 def attribute_marks(attributes: str) -> tuple[tuple[str, ...], str | None]:
@@ -137,6 +157,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("#root", -1)]
     blocks: list[tuple[int, str]] = []
     stack = [0]
+    places: dict[str, list[int]] = {}  # of open blocks in the stack, by tag
+    sections = [0]  # of open sections in the stack
+    headless = False  # no head ends any more
     pieces: list[str] = []
     links = link_words = 0
     ends: dict[int, int] | None = None
@@ -154,6 +177,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 blocks.append((stack[-1], text))
         link_words = 0
 
+    def cut(depth: int) -> None:
+        """Closes all blocks from a place in the stack on."""
+        for k in stack[depth:]:
+            places[nodes[k].tag].pop()
+        while sections[-1] >= depth:
+            sections.pop()
+        del stack[depth:]
+
     at, end = 0, len(html)
     while at < end:
         found = TAG.search(html, at)
@@ -179,7 +210,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if closing:
                 continue
             if tag == "head":
-                over = HEAD_END.search(html, at)
+                over = None if headless else HEAD_END.search(html, at)
+                headless = over is None
                 at = over.end() if over else at
             elif tag in RAW:
                 at = raw_end(html, tag, at)
@@ -192,38 +224,44 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         flush()
         links = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            open_tag = nodes[stack[k]].tag
-            if open_tag in CLOSES.get(tag, ("p",)):
-                del stack[k:]
-            elif open_tag in SECTIONS:
-                break
+        inside = [own[k] for own in (places.get(t, ()) for t in CLOSES.get(tag, ("p",))) if (k := bisect(own, sections[-1])) < len(own)]
+        if inside:
+            cut(min(inside))
         marks, main = attribute_marks(found[3] or found[6] or "")
         parent = stack[-1]
         nodes.append(Node(tag, parent, marks, nodes[parent].main if main is None else main == "1"))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SECTIONS:
+            sections.append(len(stack))
         stack.append(len(nodes) - 1)
     flush()
+    sum_up(nodes)
     return nodes, blocks
 
 
+def share(links: int, words: int) -> str:
+    return "none" if not links else "some" if links < 0.5 * words else "most"
+
+
 def features(node: Node) -> list[str]:
-    share = node.link_words / node.words if node.words else 0
-    words = node.words
+    words, below = node.words, node.below
     size = "none" if not words else "1" if words < 3 else "3" if words < 8 else "8" if words < 25 else "25"
-    found = [f"tag:{node.tag if node.tag in NAMED or node.tag in KINDS else 'other'}", f"size:{size}"]
+    tag = node.tag if node.tag in NAMED or node.tag in KINDS else "other"
+    found = [f"tag:{tag}", f"size:{size}"]
     if words:
-        found.append(f"links:{'none' if not share else 'some' if share < 0.5 else 'most'}")
+        found.append(f"links:{share(node.link_words, words)}")
         found.append(f"stop:{node.stop}")
+    if below > words:  # a box of blocks
+        found.append(f"below:{'1' if below < 12 else '12' if below < 40 else '40' if below < 120 else '120'}")
+        found.append(f"links below:{tag}:{share(node.links_below, below)}")
     return found + [f"mark:{m}" for m in node.marks]
 
 
 def kind(node: Node) -> str:
-    return KINDS.get(node.tag, "box")
+    return ("loose " if node.loose else "") + KINDS.get(node.tag, "box")
 
 
 def page_counts(html: str) -> Counter:
@@ -249,14 +287,19 @@ class Model:
             a, b = ((counts.get(("feature", f, s), 0) + 0.5) / (total[s] + 1) for s in (0, 1))
             self.node[f] = math.log(b / a)
         self.edge = {}
-        for k in ("text", "head", "item", "box"):
+        for k in (where + what for where in ("", "loose ") for what in ("text", "head", "item", "cell", "box")):
             for parent in (0, 1):
                 off, on = (counts.get(("edge", f"{k}:{parent}", s), 0) + 0.5 for s in (0, 1))
                 self.edge[k, parent] = (off / (off + on), on / (off + on))
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of each node by one upward and one downward pass."""
+        return self.beliefs(nodes)[0]
+
+    def beliefs(self, nodes: list[Node]) -> tuple[list[float], float]:
+        """(marginals; P(any node is content), from what the upward pass sums up to)."""
         n = len(nodes)
+        none, every = 0.0, 0.0  # logarithms of the weight of "no content" and of all states
         own0, own1 = [1.0] * n, [1.0] * n
         own1[0] = 0.0  # the root is not content
         up0, up1 = [1.0] * n, [1.0] * n
@@ -264,8 +307,10 @@ class Model:
         for k in range(1, n):
             odds = math.exp(max(-30.0, min(30.0, sum(self.node.get(f, 0.0) for f in features(nodes[k])))))
             own0[k], own1[k] = 1 / (1 + odds), odds / (1 + odds)
+            none += math.log(own0[k] * edges[k][0][0])
         for k in range(n - 1, 0, -1):
             total = own0[k] + own1[k]
+            every += math.log(total)
             a, b = own0[k] / total, own1[k] / total
             own0[k], own1[k] = a, b
             from0, from1 = edges[k]
@@ -273,6 +318,7 @@ class Model:
             parent = nodes[k].parent
             p0, p1 = own0[parent] * up0[k], own1[parent] * up1[k]
             own0[parent], own1[parent] = p0 / (p0 + p1), p1 / (p0 + p1)
+            every += math.log(p0 + p1)
         belief = [0.0] * n
         for k in range(1, n):
             parent = belief[nodes[k].parent]
@@ -281,7 +327,7 @@ class Model:
             b0 = own0[k] * (d0 * from0[0] + d1 * from1[0])
             b1 = own1[k] * (d0 * from0[1] + d1 * from1[1])
             belief[k] = b1 / (b0 + b1)
-        return belief
+        return belief, max(0.0, -math.expm1(min(0.0, none - every)))
 
     def extract(self, html: str | None) -> str:
         if not html:
@@ -289,8 +335,11 @@ class Model:
         nodes, blocks = parse(html)
         if len(nodes) == 1:
             return "\n".join(text for _, text in blocks)
-        belief = self.marginals(nodes)
-        return "\n".join(text for k, text in blocks if belief[k] > 0.5)
+        belief, some = self.beliefs(nodes)
+        least = 0.5
+        if some >= MIN_CONTENT and not any(belief[k] > least for k, _ in blocks):
+            least *= some  # marginals given that there is content
+        return "\n".join(text for k, text in blocks if belief[k] > least)
 
 
 def invented_page(seed: int) -> str:
@@ -304,30 +353,31 @@ def invented_page(seed: int) -> str:
     links = lambda a, b: "<ul>" + "".join(f"<li>{link()}{r.choice(['</li>', ''])}" for _ in range(r.randint(a, b))) + "</ul>"
     box = lambda names, inner, tag=None: f'<{(t := tag or r.choice(["div", "div", "section"]))} {r.choice(["class", "class", "id"])}="{r.choice(names.split())}">{inner}</{t}>'
 
-    def paragraph() -> str:
+    def paragraph(mark: str = "") -> str:
         text = sentences(1, 6) if r.random() < 0.9 else words(1, 6)
         if r.random() < 0.2:
             text = f"<b>{text}" + r.choice(["</b>", "<br>"])
         if r.random() < 0.15:
             text += " " + link() + " " + sentences(1, 1)
-        return f"<p>{text}" + r.choice(["</p>"] * 5 + [""])
+        return f"<p{mark}>{text}" + r.choice(["</p>"] * 5 + [""])
 
-    def body() -> str:
+    def body(mark: str = "") -> str:
+        """An article's blocks; mark: labels of their own where nothing around them is labelled."""
         parts = []
         for _ in range(r.randint(1, 10)):
             x = r.random()
             if x < 0.72:
-                parts.append(paragraph())
+                parts.append(paragraph(mark))
             elif x < 0.82:
-                parts.append(f"<h{(h := r.randint(2, 4))}>{words(2, 8)}</h{h}>")
+                parts.append(f"<h{(h := r.randint(2, 4))}{mark}>{words(2, 8)}</h{h}>")
             elif x < 0.88:
-                parts.append("<ul>" + "".join(f"<li>{sentences(1, 2) if r.random() < 0.6 else words(1, 8)}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
+                parts.append(f"<ul{mark}>" + "".join(f"<li>{sentences(1, 2) if r.random() < 0.6 else words(1, 8)}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
             elif x < 0.92:
-                parts.append(f"<blockquote>{sentences(1, 3)}</blockquote>")
+                parts.append(f"<blockquote{mark}>{sentences(1, 3)}</blockquote>")
             elif x < 0.95:
-                parts.append("<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr>" for _ in range(3)) + "</table>")
+                parts.append(f"<table{mark}>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr>" for _ in range(3)) + "</table>")
             elif x < 0.97:
-                parts.append(f"<pre>{words(4, 20)}</pre>")
+                parts.append(f"<pre{mark}>{words(4, 20)}</pre>")
             else:
                 parts.append('<div data-main="0" class="' + r.choice(["ad", "advert", "promo", "related", "share", "newsletter"]) + f'">{sentences(1, 1)}</div>')
         return "".join(parts)
@@ -353,6 +403,9 @@ def invented_page(seed: int) -> str:
         lambda: box("share social sharing follow tags subscribe newsletter signup", r.choice([links(2, 5), f"<p>{sentences(1, 2)}</p>"])),
     ]
     title = f"<h1>{words(2, 10)}</h1>"
+    own = ' data-main="1"'
+    loose = f"<h1{own}>{words(2, 10)}</h1>{body(own)}"
+    lines = "<br><br>".join(sentences(2, 6) for _ in range(r.randint(1, 5)))
     main = r.choice(
         [
             f'<article data-main="1">{title}{body()}</article>',
@@ -361,12 +414,22 @@ def invented_page(seed: int) -> str:
             f'<main><article data-main="1">{title}{body()}</article></main>',
             f'<div data-main="1" class="{r.choice("content article post entry story main text body post-content entry-content article-body".split())}">{title}{body()}</div>',
             f'<div class="{r.choice("wrapper container page row".split())}"><div data-main="1" id="{r.choice("content main article post story".split())}">{title}{body()}</div></div>',
+            f'<div data-main="1" class="{r.choice("content article post entry story main text body post-content entry-content article-body".split())}">{title}{body()}</div>',
+            # without a wrapper, in wrappers that have no names, and in a table's cell
+            loose,
+            loose,
+            f"<div{own}>{title}{body()}</div>",
+            f"<div><div><div{own}>{title}{body()}</div></div></div>",
+            f"<section{own}>{title}{body()}</section>",
+            f"<div{own}>{lines}</div>",
+            f"<table><tr><td>{links(2, 6)}</td><td{own}>{title}{body()}</td></tr></table>",
+            f'<div class="row"><div class="col">{links(2, 6)}</div><div class="col"{own}>{title}{body()}</div></div>',
         ]
     )
     head = "".join(x() for x in r.sample(before, r.randint(1, 4)))
     foot = "".join(x() for x in r.sample(after, r.randint(1, 4)))
     inner = f"{head}{main}{foot}"
-    if r.random() < 0.3:
+    if main is not loose and r.random() < 0.3:
         inner = f'<div class="{r.choice("wrapper container page site".split())}">{inner}</div>'
     return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{inner}</body></html>"
 
