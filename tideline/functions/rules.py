@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SINK_KINDS = ("postgres", "index", "webhook")
+# fixed values: what the surveyed engine accepts as a sink's id and as a table's schema and name
 SINK_ID = "^[a-z0-9][a-z0-9-]{0,62}$"
-TABLE_NAME = "^[A-Za-z_][A-Za-z0-9_]*\\.[A-Za-z_][A-Za-z0-9_]*$"
+TABLE_NAME = "^[a-z_][a-z0-9_]{0,62}\\.[a-z_][a-z0-9_]{0,62}$"
 
 
 def search_tokens(text: Column) -> Column:
@@ -31,7 +32,7 @@ def refusal_class(code: Column) -> Column:
 def sink_problems(sink_id: Column, kind: Column, tables: Column, target: Column) -> Column:
     """What is wrong with a sink's definition, as an array of words."""
     host = F.try_parse_url(target, F.lit("HOST"))
-    web = target.rlike("^https?://") & host.isNotNull()
+    web = target.rlike("^(?i)https?://") & host.isNotNull()
     checks = [
         (~F.coalesce(sink_id.rlike(SINK_ID), F.lit(False)), "id"),
         (~F.coalesce(kind.isin(*SINK_KINDS), F.lit(False)), "kind"),
@@ -40,6 +41,7 @@ def sink_problems(sink_id: Column, kind: Column, tables: Column, target: Column)
         (F.size(F.array_distinct(tables)) < F.size(tables), "table twice"),
         ((kind == "webhook") & ~F.coalesce(web, F.lit(False)), "target"),
         ((kind == "postgres") & (F.coalesce(F.trim(target), F.lit("")) == ""), "target"),
+        ((kind == "index") & target.isNotNull(), "target"),
     ]
     return F.filter(F.array(*[F.when(bad, F.lit(word)) for bad, word in checks]), lambda x: x.isNotNull())
 
@@ -71,15 +73,58 @@ def sink_state(rebuilding: Column, stopped: Column, retrying: Column) -> Column:
     return F.when(rebuilding, "Rebuilding").when(stopped, "Stopped").when(retrying, "Retrying").otherwise("Running")
 
 
+def _whole(x: Column) -> Column:
+    return F.format_number(F.round(x.cast("double"), 0), 0)
+
+
+def _one(x: Column) -> Column:
+    """At most one decimal, halves away from zero."""
+    return F.call_function("format_number", F.round(x.cast("double"), 1), F.lit("#,##0.#"))
+
+
 def show_count(n: Column) -> Column:
-    return F.when(n >= 1_000_000, F.format_string("%dM", (n / 1_000_000).cast("long"))).when(n >= 1000, F.format_string("%dk", (n / 1000).cast("long"))).otherwise(n.cast("string"))
+    """A count with separators of thousands."""
+    return _whole(n)
+
+
+def show_rate(per_second: Column) -> Column:
+    """A rate, whole from ten a second on."""
+    return F.concat(F.when(per_second >= 10, _whole(per_second)).otherwise(_one(per_second)), F.lit("/s"))
 
 
 def show_duration(ms: Column) -> Column:
-    seconds = (ms / 1000).cast("long")
+    """Milliseconds, from one second on seconds and from one minute on minutes."""
     return (
-        F.when(ms < 1000, F.format_string("%d ms", ms.cast("long")))
-        .when(seconds < 60, F.format_string("%d s", seconds))
-        .when(seconds < 3600, F.format_string("%d min", (seconds / 60).cast("long")))
-        .otherwise(F.format_string("%d h", (seconds / 3600).cast("long")))
+        F.when(ms < 1000, F.concat(_whole(ms), F.lit(" ms")))
+        .when(ms < 60_000, F.concat(_one(ms / 1000), F.lit(" s")))
+        .otherwise(F.concat(_one(ms / 60_000), F.lit(" min")))
     )
+
+
+def show_bytes(n: Column) -> Column:
+    """Bytes in the largest binary unit that leaves one or more; "unknown" for null."""
+    shown = F.concat(_whole(n), F.lit(" B"))
+    for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+        shown = F.when(n >= 1024**power, F.concat(_one(n / float(1024**power)), F.lit(f" {unit}"))).otherwise(shown)
+    return F.coalesce(shown, F.lit("unknown"))
+
+
+def show_ago(at_ms: Column, now_ms: Column) -> Column:
+    """How long ago, in seconds, minutes or hours; "never" for null."""
+    seconds = F.greatest(F.lit(0), F.round((now_ms - at_ms) / 1000, 0).cast("long"))
+    in_units = lambda size, unit: F.concat(F.round(seconds / size, 0).cast("long").cast("string"), F.lit(f" {unit} ago"))
+    shown = F.when(seconds < 60, in_units(1, "s")).when(seconds < 3600, in_units(60, "min")).otherwise(in_units(3600, "h"))
+    return F.when(at_ms.isNull(), "never").otherwise(shown)
+
+
+def show_key(document: Column) -> Column:
+    """A key's JSON object as name=value, name=value; other text as it is."""
+    entries = F.map_entries(F.from_json(document, "map<string,string>"))
+    shown = F.concat_ws(", ", F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))))
+    return F.when(F.trim(document).startswith("{") & (F.size(entries) > 0), shown).otherwise(document)
+
+
+def show_conflict(winner: Column, loser_source: Column, loser_hlc: Column, loser_ordinal: Column) -> Column:
+    """A feed's line on a lost change; winner is a version."""
+    at = lambda hlc, ordinal: F.concat_ws("/", hlc.cast("string"), ordinal.cast("string"))
+    return F.concat(F.lit("kept "), winner["source"], F.lit(" at "), at(winner["hlc"], winner["ordinal"]), F.lit(" over "), loser_source, F.lit(" at "), at(loser_hlc, loser_ordinal))

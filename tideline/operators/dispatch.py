@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.operators.outbox import last_seq_before
+
 
 def lane(key: Column, lanes: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int")
@@ -18,10 +20,10 @@ def in_lanes(changes: DataFrame, lanes: int, key: str = "key") -> DataFrame:
 
 def marks(progress: DataFrame, start: int = 0) -> DataFrame:
     """source, mark, in_flight from dispatched changes (source, seq, finished): the greatest seq below every unfinished one."""
-    open_ = F.min(F.when(~F.col("finished"), F.col("seq"))).over(W.partitionBy("source"))
-    rows = progress.withColumn("open", open_)
+    open_ = progress.groupBy("source").agg(F.min(F.when(~F.col("finished"), F.col("seq"))).alias("open"), F.count_if(~F.col("finished")).alias("in_flight"))
     below = F.max(F.when(F.col("open").isNull() | (F.col("seq") < F.col("open")), F.col("seq")))
-    return rows.groupBy("source").agg(F.coalesce(below, F.lit(start)).alias("mark"), F.count_if(~F.col("finished")).alias("in_flight"))
+    found = progress.join(open_, "source").groupBy("source").agg(below.alias("mark"), F.first("in_flight").alias("in_flight"))
+    return found.select("source", F.coalesce("mark", F.lit(start)).alias("mark"), "in_flight")
 
 
 def parked(changes: DataFrame, refused: Column, blocked: DataFrame | None = None) -> DataFrame:
@@ -79,6 +81,53 @@ def advance_cursors(cursors: DataFrame, moves: DataFrame) -> DataFrame:
     return both.groupBy("sink_id", "source").agg(F.max("last_seq").alias("last_seq"))
 
 
+def set_cursors(cursors: DataFrame, moves: DataFrame) -> DataFrame:
+    """Cursors (sink_id, source, last_seq, start_lsn) with those of moves in place of the sinks' earlier ones, forward or back."""
+    own = ["sink_id", "source", "last_seq", "start_lsn"]
+    return cursors.select(*own).join(moves.select("sink_id", "source"), ["sink_id", "source"], "left_anti").unionByName(moves.select(*own))
+
+
+def replay_cursors(log: DataFrame, sink_id: str, from_lsn: int) -> DataFrame:
+    """Cursors of a sink that is to get everything from a position on again, for set_cursors."""
+    return start_cursors(log, "lsn", from_lsn).select(F.lit(sink_id).alias("sink_id"), "source", "last_seq", "start_lsn")
+
+
+def resume_positions(log: DataFrame, cursors: DataFrame, sinks: DataFrame) -> DataFrame:
+    """sink_id, source, after_seq: where delivery goes on after a restart. A durable sink goes on from its cursor; an index is
+    empty by then and starts over from the position that it was given first."""
+    kept = cursors.join(sinks.select("sink_id", (F.col("kind") == "index").alias("volatile")), "sink_id")
+    begins = last_seq_before(log, kept.where("volatile").select("source", F.col("start_lsn").alias("lsn")))
+    begins = begins.select("source", F.col("lsn").alias("start_lsn"), F.col("seq").alias("first_seq"), F.lit(True).alias("volatile"))
+    after = F.when(F.col("volatile"), F.col("first_seq")).otherwise(F.col("last_seq"))
+    return kept.join(begins, ["source", "start_lsn", "volatile"], "left").select("sink_id", "source", after.alias("after_seq"))
+
+
+def open_letters(letters: DataFrame, sink_id: str, key: str | None = None, limit: int = 100) -> DataFrame:
+    """A sink's letters (id, sink_id, key, resolved_at, ...) that are open, of one row if key is given, the oldest first. A
+    page: limit is part of the request and clamped to 1..1000."""
+    found = letters.where((F.col("sink_id") == sink_id) & F.col("resolved_at").isNull())
+    if key is not None:
+        found = found.where(F.col("key") == key)
+    return found.orderBy("id").limit(max(1, min(limit, 1000)))
+
+
+def resolve_letters(letters: DataFrame, ids: DataFrame, at_ms: int) -> DataFrame:
+    """letters with resolved_at set for those in ids (id)."""
+    marked = letters.join(ids.select("id").distinct().withColumn("named", F.lit(True)), "id", "left")
+    return marked.withColumn("resolved_at", F.when(F.col("named"), F.lit(at_ms).cast("long")).otherwise(F.col("resolved_at"))).select(*letters.columns)
+
+
+def record_attempts(letters: DataFrame, ids: DataFrame, error: str) -> DataFrame:
+    """letters with one more attempt and a new error for those in ids (id)."""
+    marked = letters.join(ids.select("id").distinct().withColumn("named", F.lit(True)), "id", "left")
+    named = F.coalesce("named", F.lit(False))
+    return marked.withColumns({"attempts": F.col("attempts") + named.cast("int"), "error": F.when(named, F.lit(error)).otherwise(F.col("error"))}).select(*letters.columns)
+
+
+def clear_letters(letters: DataFrame, sink_id: str) -> DataFrame:
+    return letters.where(F.col("sink_id") != sink_id)
+
+
 def replay(log: DataFrame, from_lsn: int) -> DataFrame:
     """The changes a sink gets again."""
     return log.where(F.col("commit_lsn") >= from_lsn)

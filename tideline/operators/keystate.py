@@ -22,11 +22,6 @@ def version() -> Column:
     return F.struct(F.col("hlc").cast("long").alias("hlc"), F.col("source").alias("source"), F.col("ordinal").cast("int").alias("ordinal"))
 
 
-def newer(a: Column, b: Column) -> Column:
-    """The greater of two versions; null is the oldest."""
-    return F.greatest(a, b)
-
-
 def registered(names: Column, img: Column) -> Column:
     """Entries of img that count as changed: all of them if names is null."""
     return F.filter(img, lambda e: names.isNull() | F.array_contains(names, e["name"]))
@@ -56,6 +51,11 @@ def merge_states(*states: DataFrame) -> DataFrame:
     every = states[0].select(*STATE)
     for other in states[1:]:
         every = every.unionByName(other.select(*STATE))
+    return merge_parts(every)
+
+
+def merge_parts(every: DataFrame) -> DataFrame:
+    """merge_states of a table with a row per key and batch: a key has at most as many rows as there are batches."""
     merged = every.groupBy("key").agg(
         F.max("delete_version").alias("delete_version"),
         F.collect_list(F.struct(F.col("newest_version").alias("version"), F.col("newest_image").alias("image"))).alias("news"),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.operators.ranges import values_at
+
 
 def capture_counters(log: DataFrame, txns: DataFrame) -> DataFrame:
     """source, changes, txns (without changes too), last_commit_ms."""
@@ -16,15 +18,18 @@ def capture_counters(log: DataFrame, txns: DataFrame) -> DataFrame:
 
 def nearest_rank(values: DataFrame, value: str, by: list[str], quantile: float) -> DataFrame:
     """by, nearest: the value at place ceil(quantile * n) in order."""
-    w = W.partitionBy(*by).orderBy(value)
-    ranked = values.select(*by, value, F.row_number().over(w).alias("place"), F.count(F.lit(1)).over(W.partitionBy(*by)).alias("n"))
-    return ranked.where(F.col("place") == F.greatest(F.lit(1), F.ceil(F.lit(quantile) * F.col("n")))).select(*by, F.col(value).alias("nearest"))
+    return values_at(values, value, by, {"nearest": F.greatest(F.lit(1), F.ceil(F.lit(quantile) * F.col("n")))}).select(*by, "nearest")
 
 
 def lag_summary(lags: DataFrame, lag: Column) -> DataFrame:
-    """source, n, p50, p95, p99, most of lags in ms; snapshot rows (clock 0) do not count."""
-    at = lambda q: F.round(F.percentile(lag, q)).cast("long")
-    return lags.where("hlc <> 0").groupBy("source").agg(F.count(F.lit(1)).alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(lag).alias("most"))
+    """source, n, p50, p95, p99, most of lags in ms; snapshot rows (clock 0) do not count. A percentile lies between the values
+    at the places to either side of q * (n - 1), in proportion."""
+    quantiles = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    place = lambda q: F.lit(q) * (F.col("n") - 1)
+    ranks = {f"{name}_low": F.floor(place(q)) + 1 for name, q in quantiles.items()} | {f"{name}_high": F.ceil(place(q)) + 1 for name, q in quantiles.items()}
+    found = values_at(lags.where("hlc <> 0").select("source", lag.alias("lag")), "lag", ["source"], ranks | {"most": F.col("n")})
+    between = lambda name, q: F.round(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (place(q) - F.floor(place(q)))).cast("long").alias(name)
+    return found.select("source", "n", *[between(name, q) for name, q in quantiles.items()], "most")
 
 
 def sink_lags(positions: DataFrame, now_ms: Column) -> DataFrame:
@@ -64,11 +69,13 @@ def inversions(applied: DataFrame) -> DataFrame:
     return applied.withColumn("back", F.col("seq") < F.lag("seq").over(w)).agg(F.count_if("back").alias("inversions"))
 
 
-def table_digest(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """by, digest: md5 over the md5s of a group's rows in order of text. Groups are meant to be ranges of a table, so that a
-    large table has many; a table's digest is that of its groups'."""
+def table_digest(rows: DataFrame, by: str, order: str, columns: list[str], width: int = 1_000) -> DataFrame:
+    """by, digest: the md5 of a group's ranges' md5s in order, a range being `width` values of the long column `order`, and a
+    range's md5 that of its rows' md5s in order of text. No more than a range, or a digest of each, is held at once."""
     line = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
-    return rows.groupBy(by).agg(F.md5(F.concat_ws(",", F.array_sort(F.collect_list(line)))).alias("digest"))
+    ranges = rows.groupBy(by, F.floor(F.col(order) / width).alias("part")).agg(F.md5(F.concat_ws(",", F.array_sort(F.collect_list(line)))).alias("digest"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"])
+    return ranges.groupBy(by).agg(F.md5(F.concat_ws(",", ordered)).alias("digest"))
 
 
 def lost_writes(acknowledged: DataFrame, stored: DataFrame) -> DataFrame:
@@ -89,9 +96,20 @@ def source_overview(status: DataFrame, health: DataFrame) -> DataFrame:
     return status.join(health, status["source"] == health["name"], "left").drop("name")
 
 
-def caught_up(positions: DataFrame) -> DataFrame:
-    """caught_up: no sink has anything pending."""
-    return positions.agg(F.coalesce(F.bool_and(F.col("pending_lsn").isNull()), F.lit(False)).alias("caught_up"))
+def caught_up(positions: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """caught_up: no sink has anything pending, and each is running if states (sink_id, state) are given."""
+    idle = F.col("pending_lsn").isNull()
+    if states is not None:
+        positions = positions.join(states.select("sink_id", "state"), "sink_id", "left")
+        idle = idle & F.coalesce(F.col("state") == "Running", F.lit(False))
+    return positions.agg(F.coalesce(F.bool_and(idle), F.lit(False)).alias("caught_up"))
+
+
+def version_breaks(applied: DataFrame) -> DataFrame:
+    """key, versions, breaks: how many of a row's applied versions (key, n: order of application, version) are not one more
+    than the one before; the first must be 1."""
+    step = F.col("version") - F.lag("version", 1, 0).over(W.partitionBy("key").orderBy("n"))
+    return applied.withColumn("step", step).groupBy("key").agg(F.count(F.lit(1)).alias("versions"), F.count_if(F.col("step") != 1).alias("breaks"))
 
 
 def merged_feed(live: DataFrame, history: DataFrame) -> DataFrame:

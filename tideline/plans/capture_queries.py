@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.hlc import hlc_counter, hlc_millis, stamp_transactions
-from tideline.functions.images import entry, image, value_of
+from tideline.functions.images import entry, image, to_image_json, value_of
 from tideline.functions.lsn import lsn_diff, lsn_format, lsn_parse
 from tideline.functions.masks import hmac_pads, mask_image
 from tideline.operators.capture import commit_groups, drop_resent, identities, resent_counts, snapshot_changes, split_key_changes, with_changed_columns
+from tideline.operators.outbox import claim, read_outbox, shared_dir
 from tideline.plans.sql import over_log
-from tideline.sources.change_log import TABLE, change_log, decode_messages, event_image, message_transactions, read_events, transactions
+from tideline.sources.change_log import TABLE, change_log, decode_messages, event_image, message_transactions, read_events, snapshot_scan, sources_behind, table_columns, transactions
+from tideline.streaming.apply import CaptureSession
 
 SECRET = b"an example key of thirty-two bytes"
 INNER, OUTER = hmac_pads(SECRET)
@@ -157,13 +161,72 @@ SNAPSHOT_SQL = "SELECT CAST(c_custkey AS VARCHAR) AS key, 'crm/0/0/0/' || c_cust
 
 
 def commit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = read_events(spark, sf_dir).groupBy("source", "commit_lsn").agg(F.count(F.lit(1)).alias("n_changes"))
-    return commit_groups(counted, 100).groupBy("source", "batch").agg(F.count(F.lit(1)).alias("txns"), F.sum("n_changes").alias("changes"))
+    """Batches of transactions of 4 to 40 changes."""
+    counted = read_events(spark, sf_dir).groupBy("source", "commit_lsn").agg((F.count(F.lit(1)) + F.max("txn") * 31 % 37).alias("n_changes"))
+    return commit_groups(counted, 100, 20_000).groupBy("source", "batch").agg(F.count(F.lit(1)).alias("txns"), F.sum("n_changes").alias("changes"))
+
+
+BATCH_SQL = over_log(
+    "SELECT source, batch, count(*) AS txns, CAST(sum(n) AS BIGINT) AS changes FROM step GROUP BY source, batch",
+    """sized AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY commit_lsn) AS i, n FROM (SELECT source, commit_lsn, count(*) + max(txn) * 31 % 37 AS n FROM ev GROUP BY source, commit_lsn)),
+step(source, i, n, batch, held) AS (
+  SELECT source, i, n, CAST(0 AS BIGINT), n FROM sized WHERE i = 1
+  UNION ALL SELECT z.source, z.i, z.n, CASE WHEN s.held >= 100 THEN s.batch + 1 ELSE s.batch END, CASE WHEN s.held >= 100 THEN z.n ELSE s.held + z.n END
+  FROM step s JOIN sized z ON z.source = s.source AND z.i = s.i + 1)""",
+)
+
+
+def snapshot_scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a snapshot reads them: the key's document, how many columns, and two of them as text."""
+    rows = snapshot_scan(spark.read.parquet(f"{sf_dir}/customer.parquet"), "public.customer", ["c_custkey"])
+    pick = lambda n: value_of(F.col("after"), n).alias(n)
+    return rows.select("table_name", to_image_json(F.col("key")).alias("key"), F.size("after").cast("long").alias("n_columns"), pick("c_name"), pick("c_nationkey"))
+
+
+SCAN_SQL = """SELECT 'public.customer' AS table_name, '{"c_custkey":"' || c_custkey || '"}' AS key, (SELECT count(*) FROM (DESCRIBE customer)) AS n_columns, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer"""
+
+
+def table_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of lineitem, with their places in the table and in its key."""
+    rows = table_columns(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
+    return spark.createDataFrame([(c, k, key or 0) for c, _, k, key in rows], "column string, position long, key_position long")
+
+
+LAYOUT_SQL = """SELECT column_name AS "column", row_number() OVER () AS position, CAST(coalesce(list_position(['l_orderkey', 'l_linenumber'], column_name), 0) AS BIGINT) AS key_position FROM (DESCRIBE lineitem)"""
+
+
+def behind_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of which the log at hand ends before the stored position."""
+    txns = transactions(read_events(spark, sf_dir))
+    stored = txns.groupBy("source").agg(F.max("end_lsn").alias("confirmed_lsn"))
+    return sources_behind(txns.where("source = 'eu' or end_lsn % 700 <> 10 and end_lsn < 20000"), stored)
+
+
+BEHIND_SQL = over_log("""SELECT source, e AS log_end, c AS confirmed_lsn FROM (
+  SELECT source, max(end_lsn) FILTER (source = 'eu' OR (end_lsn % 700 <> 10 AND end_lsn < 20000)) AS e, max(end_lsn) AS c FROM tx GROUP BY source) WHERE coalesce(e, 0) < c""")
+
+
+def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outbox after a stream of message transactions in three files, of which the second and third begin with transactions
+    that were in the one before, went through a capture session."""
+    events = read_events(spark, sf_dir)
+    clocks = transactions(events).select("source", "txn", "wall_ms", "commit_ms")
+    txns = message_transactions(events).join(clocks, ["source", "txn"])
+    folder = f"{shared_dir(spark)}/capture-{uuid.uuid4().hex}"
+    last = events.agg(F.max("commit_lsn")).first()[0]
+    for part in range(3):  # one file after the other, in commit order
+        low, high = last * part // 3 - 500 * (part > 0), last * (part + 1) // 3
+        txns.where((F.col("commit_lsn") > low) & (F.col("commit_lsn") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    stream = spark.readStream.schema(txns.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    owned = {s: claim(spark, f"{folder}/outbox", s) for s in ("eu", "us")}
+    session = CaptureSession(spark, f"{folder}/outbox", owned, [TABLE], {TABLE: {"kind": "redact"}}, ["id"], SECRET)
+    session.start(stream, f"{folder}/checkpoint", spark.read.parquet(f"{folder}/log")).awaitTermination()
+    changed = F.coalesce(F.size("columns"), F.lit(-1)).cast("long")
+    return read_outbox(spark, f"{folder}/outbox").select("source", "commit_lsn", F.col("ordinal").cast("long").alias("ordinal"), "op", "key", "hlc", F.get_json_object("after", "$.kind").alias("kind"), changed.alias("n_changed"))
 
 
-BATCH_SQL = over_log("""SELECT source, CAST(coalesce(b, 0) // 100 AS BIGINT) AS batch, count(*) AS txns, CAST(sum(n) AS BIGINT) AS changes FROM (
-  SELECT source, n, sum(n) OVER (PARTITION BY source ORDER BY commit_lsn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
-  FROM (SELECT source, commit_lsn, count(*) AS n FROM ev GROUP BY ALL)) GROUP BY 1, 2""")
+CAPTURED_SQL = over_log("""SELECT source, commit_lsn, CAST(ordinal AS BIGINT) AS ordinal, op, '{"id":"' || key || '"}' AS key, hlc, CASE WHEN op <> 'd' THEN '[redacted]' END AS kind,
+  CAST(CASE WHEN op = 'u' AND seq % 3 = 0 THEN 0 ELSE -1 END AS BIGINT) AS n_changed FROM lg""")
 
 QUERIES = {
     "decode_events": (decode_events, DECODE_SQL),
@@ -178,4 +241,8 @@ QUERIES = {
     "entity_event_ids": (entity_event_ids, IDS_SQL),
     "snapshot_ids": (snapshot_ids, SNAPSHOT_SQL),
     "commit_batches": (commit_batches, BATCH_SQL),
+    "snapshot_scan": (snapshot_scan_rows, SCAN_SQL),
+    "table_layout": (table_layout, LAYOUT_SQL),
+    "behind_sources": (behind_sources, BEHIND_SQL),
+    "stream_capture": (stream_capture, CAPTURED_SQL),
 }

@@ -54,5 +54,6 @@ cu AS (
     (SELECT source, max(seq) AS head FROM lg GROUP BY source) h)"""
 
 
-def over_log(select: str) -> str:
-    return f"WITH {EVENTS}\n{select}"
+def over_log(select: str, recursive: str = "") -> str:
+    """recursive: further common tables, of which some refer to themselves."""
+    return f"WITH RECURSIVE {EVENTS},\n{recursive}\n{select}" if recursive else f"WITH {EVENTS}\n{select}"

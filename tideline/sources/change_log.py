@@ -83,8 +83,8 @@ def message_transactions(events: DataFrame) -> DataFrame:
 
 
 def decode_messages(txns: DataFrame, heartbeat: str = HEARTBEAT, key_columns: list[str] = KEY_COLUMNS) -> DataFrame:
-    """source, txn, commit_lsn, ordinal, op, key, previous_key, before, after of every row message, in order; heartbeats and
-    truncates give no change, and a transaction of them alone stays as a row with op null, so its position is kept."""
+    """source, txn, commit_lsn, end_lsn, ordinal, op, key, previous_key, before, after, table_name of every row message, in order;
+    row by row, so of a stream as well; heartbeats and truncates give no change, and a transaction of them alone stays as a row with op null, so its position is kept."""
     wanted = F.filter("messages", lambda m: (m["table_name"] != heartbeat) & (m["message"] != "truncate"))
     rows = txns.select("source", "txn", "commit_lsn", "end_lsn", F.posexplode_outer(wanted).alias("ordinal", "m"))
     kind = F.split_part(F.col("m.message"), F.lit("_"), F.lit(1))
@@ -93,20 +93,33 @@ def decode_messages(txns: DataFrame, heartbeat: str = HEARTBEAT, key_columns: li
     key = F.when(kind == "delete", identity).otherwise(project(F.col("m.new"), key_columns))
     return rows.select(
         "source", "txn", "commit_lsn", "end_lsn", "ordinal", op.alias("op"), key.alias("key"),
-        F.when(kind == "update", identity).alias("previous_key"), F.col("m.old").alias("before"), F.col("m.new").alias("after"),
+        F.when(kind == "update", identity).alias("previous_key"), F.col("m.old").alias("before"), F.col("m.new").alias("after"), "m.table_name",
     )
 
 
-def require_not_behind(txns: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """txns, stopping the query if a source's log ends before its stored position: it would skip commits."""
+def sources_behind(txns: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """source, log_end, confirmed_lsn of sources whose log (of which txns is the end) stops before their stored position."""
     ends = txns.groupBy("source").agg(F.max("end_lsn").alias("log_end"))
-    behind = checkpoints.join(ends, "source", "left").where(F.coalesce("log_end", F.lit(0)) < F.col("confirmed_lsn"))
-    stop = behind.agg(F.count(F.lit(1)).alias("n")).select(F.assert_true(F.col("n") == 0, "the log ends before the stored position").alias("checked"))
-    stop.collect()
-    return txns
+    return checkpoints.join(ends, "source", "left").where(F.coalesce("log_end", F.lit(0)) < F.col("confirmed_lsn")).select("source", "log_end", "confirmed_lsn")
 
 
-def snapshot_image(row: DataFrame, key_columns: list[str]) -> DataFrame:
-    """key, after: every row of a table as text, columns in table order."""
-    cells = [entry(c, F.col(c)) for c in row.columns]
-    return row.select(image(*[entry(c, F.col(c)) for c in key_columns]).alias("key"), image(*cells).alias("after"))
+def refuse_if_behind(txns: DataFrame, checkpoints: DataFrame) -> None:
+    """Runs a job now, and raises ValueError if a log ends before its stored position: reading on would skip commits."""
+    behind = [r.source for r in sources_behind(txns, checkpoints).select("source").limit(10).collect()]
+    if behind:
+        raise ValueError(f"the log ends before the stored position: {', '.join(map(str, sorted(behind)))}")
+
+
+def table_columns(table: DataFrame, key_columns: list[str]) -> list[tuple[str, str, int, int | None]]:
+    """(column, type, position, position in the key or None) of a table, from 1, in table order."""
+    missing = sorted(set(key_columns) - set(table.columns))
+    if missing:
+        raise ValueError(f"no such key columns: {', '.join(missing)}")
+    return [(f.name, f.dataType.simpleString(), k, key_columns.index(f.name) + 1 if f.name in key_columns else None) for k, f in enumerate(table.schema, 1)]
+
+
+def snapshot_scan(table: DataFrame, table_name: str, key_columns: list[str]) -> DataFrame:
+    """table_name, key (image of the key columns in key order), after (image of all columns, as text, in table order) of every
+    row, for snapshot_changes."""
+    columns = table_columns(table, key_columns)
+    return table.select(F.lit(table_name).alias("table_name"), image(*[entry(c, F.col(c)) for c in key_columns]).alias("key"), image(*[entry(c, F.col(c)) for c, *_ in columns]).alias("after"))
