@@ -32,7 +32,7 @@ doc_id, text and the row column are read, so other columns may have any names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import mix64, run_starts, slices, stage
+from tideline.llm.common import Scratch, mix64, run_starts, slices, stage
 from tideline.llm.fingerprints import shingle_hashes, word_hashes
 
 SIZE, PERCENT = 4, 85
@@ -305,15 +305,15 @@ def signatures(docs: DataFrame, size: int, percent: int, row: Column) -> DataFra
     return rows.mapInArrow(run, "row long, doc_id long, node long, n long, slot long, routes array<long>, map binary")
 
 
-def groups(signed: DataFrame) -> DataFrame:
+def groups(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """grp, hub, node, n: the classes that meet in the routes of one slot whose least class is hub."""
-    ways = signed.select("node", "n", "slot", F.explode("routes").alias("way"))
-    ways = ways.select("node", "n", F.col("way").bitwiseAND(F.lit(OWN | SMALL)).cast("int").alias("role"), F.shiftright("way", 2).alias("route"), "slot")
+    ways = signed.select("node", F.explode("routes").alias("way"))
+    ways = ways.select("node", F.shiftright("way", 2).alias("route"), F.col("way").bitwiseAND(F.lit(OWN | SMALL)).cast("byte").alias("role"))
     live = ways.groupBy("route").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.bit_or("role").alias("roles"))
     live = live.where((F.col("hub") < F.col("last")) & (F.col("roles") == OWN | SMALL)).select("route", "hub")
-    # the slot of the route: its own members' one
-    place = F.col("slot") + 1 - F.col("role").bitwiseAND(F.lit(OWN))
-    return ways.join(live, "route").select(F.xxhash64("hub", place).alias("grp"), "hub", "node", "n").distinct()
+    met = ways.join(live, "route").select("hub", "node", F.col("role").bitwiseAND(F.lit(OWN)).alias("own")).distinct()
+    place = F.col("slot") + 1 - F.col("own")  # the slot of the route: its own members' one
+    return met.join(classes, "node").select(F.xxhash64("hub", place).alias("grp"), "hub", "node", "n")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -381,7 +381,7 @@ def by_unit(rows: DataFrame, column: str, answer, kinds: str) -> DataFrame:
     return dealt.mapInArrow(run, kinds)
 
 
-def tree_links(units: DataFrame, maps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def tree_links(units: DataFrame, maps: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, stage: Callable[..., DataFrame]) -> DataFrame:
     """a, b: links that span the components of every unit. units: unit, side, comp, node, n; maps: node, map."""
 
     def possible(unit, node, n, comp, side, words):
@@ -398,7 +398,7 @@ def tree_links(units: DataFrame, maps: DataFrame, classes: DataFrame, docs: Data
     return stage(by_unit(rows, "hashes", link, "a long, b long"), "join-links")
 
 
-def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+def join_components(labels: DataFrame, links: DataFrame, stage: Callable[..., DataFrame] = stage) -> DataFrame:
     """labels (node, comp) after links (a, b): components that a link joins get their least name. Every step takes the least
     component over a link and then jumps to the component's own; it ends when nothing changes."""
     edges = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
@@ -455,21 +455,26 @@ def second_units(members: DataFrame, labels: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, row: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, row of every document; percent is from 1 to 99. row is a column of docs, a different
     long in each document; without one it is the document's number in this one scan, which says nothing about any other scan
-    of docs."""
-    signed = stage(signatures(docs, size, percent, F.monotonically_increasing_id() if row is None else row), "join-signatures")
+    of docs. The answer is a written table; what was written on the way to it is removed."""
+    with Scratch(docs.sparkSession) as scratch:
+        signed = scratch.stage(signatures(docs, size, percent, F.monotonically_increasing_id() if row is None else row), "join-signatures")
+        return stage(components_of(signed, docs, size, percent, scratch.stage), "join-components")
+
+
+def components_of(signed: DataFrame, docs: DataFrame, size: int, percent: int, stage: Callable[..., DataFrame]) -> DataFrame:
     full = signed.where("node is not null")
-    classes = stage(full.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "join-classes")
-    members = stage(groups(full), "join-groups")
+    classes = stage(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("slot").alias("slot")), "join-classes")
+    members = stage(groups(full, classes), "join-groups")
     weights = members.groupBy("grp").agg(block_count(F.sum("n")).alias("blocks"))
     members = stage(members.join(weights, "grp"), "join-members")
     met = members.select("node").distinct()
     maps = full.where("map is not null").join(met, "node", "left_semi").groupBy("node").agg(F.first("map").alias("map"))
     labels = met.withColumn("comp", F.col("node"))
-    labels = join_components(labels, tree_links(first_units(members), maps, classes, docs, size, percent))
+    labels = join_components(labels, tree_links(first_units(members), maps, classes, docs, size, percent, stage), stage)
     if members.where("blocks > 1").limit(1).count():
         units = stage(second_units(members, labels), "join-units")
-        labels = join_components(labels, tree_links(units, maps, classes, docs, size, percent))
-    named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        labels = join_components(labels, tree_links(units, maps, classes, docs, size, percent, stage), stage)
+    named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = named.select("node", "comp").join(least, "comp").select("node", "component_id")
     rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "node", "row").join(named, "node", "left")
