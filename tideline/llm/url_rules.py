@@ -1,14 +1,17 @@
 """URL filtering by association rules, in DataFrame functions only (Spark's FP-growth runs in the JVM).
 
-Labelled URLs become token sets (host labels, path words, digits as one token). FP-growth mines the token combinations
-that come with the label "block" in all of them; rules need a confidence and a number of URLs, and a rule that contains a
-rule of at least its confidence is dropped. BLOCK_WORDS is a prior list: each word is a rule without being mined, but not for
-a URL whose own document is labelled clean. Rules are matched through an inverted index that lists each rule under its
-rarest token; a candidate counts when the URL has all of its tokens. Fixed rules (host and path prefixes) go before both.
+Labelled URLs become token sets: host labels, pairs of labels that stand side by side, path words (digits as one token),
+the path's depth and its extension. FP-growth mines the token combinations that come with the label "block" in all labelled
+URLs. A rule needs a number of URLs that bear it out, a confidence, and a lift over the share of "block" among all labelled
+URLs; a rule that contains a rule of at least its confidence is dropped. Rules are matched through an inverted index that
+lists each rule under its rarest token; a candidate counts when the URL has all of its tokens. Fixed rules (host and path
+prefixes) go before mined ones. Nothing but labels makes a rule: where they say nothing about URLs, none is mined.
+
+A URL's label is that of the document whose number ends its path: "block" if it is of low quality or toxic.
 
 Defined cases: a null URL, or one without "://", has empty host and path, no tokens, no rule and the verdict "allow";
-repeated URLs are judged once and all get that verdict; without labelled URLs no rules are mined and only the prior list
-and the fixed rules decide.
+repeated URLs are judged once and all get that verdict; without labelled URLs no rules are mined and only the fixed rules
+decide. Of pages and labels only the named columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -17,9 +20,11 @@ import string
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import stage
+
 #: (verdict, host, path) of the fixed rules.
 FIXED_RULES = (
     ("allow", "com", "/"),
@@ -28,8 +33,6 @@ FIXED_RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Host words that mark a URL as unwanted by category: prior rules, and the label of URLs whose document has none.
-BLOCK_WORDS = ("casino", "poker", "bets", "gambling", "lottery", "pills", "viagra", "adult", "porn", "xxx", "escort", "spam", "malware", "phishing", "warez", "ads", "track")
 NO_RULES = "antecedent array<string>, confidence double, support double"
 
 
@@ -44,11 +47,15 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    def words(text: Column, kind: str) -> Column:
-        parts = F.filter(F.split(text, "[./_-]+"), lambda x: x != "")
-        return F.transform(parts, lambda x: F.concat(F.lit(kind), F.when(x.rlike("^[0-9]+$"), F.lit("#")).otherwise(x)))
-
-    return F.array_distinct(F.concat(words(host, "host:"), words(F.lower(path), "path:")))
+    named = lambda kind, words: F.transform(words, lambda x: F.concat(F.lit(kind), F.when(x.rlike("^[0-9]+$"), F.lit("#")).otherwise(x)))
+    parts = lambda text, cut: F.filter(F.split(text, cut), lambda x: x != "")
+    labels = parts(host, "[.]")
+    pairs = F.zip_with(labels, F.slice(labels, 2, F.greatest(F.size(labels), F.lit(1))), lambda x, y: F.concat(x, F.lit("."), y))
+    lower = F.lower(path)
+    depth = F.array(F.concat(F.lit("depth:"), F.size(parts(lower, "/")).cast("string")))
+    extension = F.filter(F.array(F.regexp_extract(lower, "[.]([a-z0-9]{1,5})$", 1)), lambda x: x != "")
+    kinds = [named("host:", parts(host, "[._-]+")), named("hosts:", F.filter(pairs, lambda x: x.isNotNull())), named("path:", parts(lower, "[./_-]+")), named("", depth), named("ext:", extension)]
+    return F.array_distinct(F.concat(*kinds))
 
 
 def fixed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = FIXED_RULES) -> tuple[Column, Column]:
@@ -61,12 +68,6 @@ def fixed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return rule, verdict
 
 
-def prior_rules(spark: SparkSession, words: Sequence[str] = BLOCK_WORDS) -> DataFrame:
-    """antecedent, confidence of the unwanted host words."""
-    rules = F.array(*[F.array(F.lit("host:" + w)) for w in words])
-    return spark.range(1).select(F.explode(rules).alias("antecedent"), F.lit(1.0).alias("confidence"))
-
-
 def known_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """host, path, tokens, bad of every URL: 1 if the document whose number ends the path is of low quality or toxic, 0 if it
     is labelled and neither, else null."""
@@ -78,21 +79,26 @@ def known_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def labelled_urls(urls: DataFrame) -> DataFrame:
-    """tokens, label of known_urls: the document's label, where it has none "block" for a host with an unwanted word."""
-    unwanted = F.arrays_overlap("tokens", F.array(*[F.lit("host:" + w) for w in BLOCK_WORDS]))
-    label = F.when(F.col("bad") == 1, "block").when(F.col("bad") == 0, "allow").when(unwanted, "block")
-    return urls.where("host <> ''").select("tokens", label.alias("label")).where("label is not null")
+    """tokens, label of those known_urls that have a label."""
+    return urls.where((F.col("host") != "") & F.col("bad").isNotNull()).select("tokens", F.when(F.col("bad") == 1, "block").otherwise("allow").alias("label"))
 
 
-def mine_rules(labelled: DataFrame, min_confidence: float = 0.9, min_count: int = 10) -> DataFrame:
-    """antecedent, confidence, support of the rules for "block" that stay after pruning; min_count URLs must bear one out."""
-    n = labelled.count()
+def mine_rules(labelled: DataFrame, min_confidence: float = 0.9, min_count: int = 10, min_share: float = 1e-4, min_lift: float = 1.5) -> DataFrame:
+    """antecedent, confidence, support of the rules for "block" that stay after pruning. min_count URLs, and min_share of all
+    labelled ones, must bear a rule out (the share keeps the number of combinations from growing with the labels), with a
+    confidence of min_confidence and of min_lift times the share of "block" among all. Tokens of so many URLs that none could
+    reach that lift by itself are not mined."""
+    n, base = labelled.agg(F.count(F.lit(1)), F.avg((F.col("label") == "block").cast("double"))).first()
     if n < max(1, min_count):
         return labelled.sparkSession.createDataFrame([], NO_RULES)
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_count - 0.5) / n), minConfidence=min_confidence).fit(baskets)
+    # a URL has few tokens, so few can be that common
+    common = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") * min_lift > n).select("token").collect()
+    telling = F.array_except("tokens", F.array(*[F.lit(r.token) for r in common]).cast("array<string>"))
+    baskets = labelled.select(F.concat(telling, F.array(F.concat(F.lit("="), "label"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max((min_count - 0.5) / n, min_share)), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", "=block") & ~F.exists("antecedent", lambda t: t.startswith("=")))
-    rules = rules.select("antecedent", "confidence", "support").withColumn("rule_id", F.xxhash64(F.array_sort("antecedent")))
+    rules = rules.where(F.col("confidence") >= min_lift * base).select("antecedent", "confidence", "support")
+    rules = stage(rules, "url-rules").withColumn("rule_id", F.xxhash64(F.array_sort("antecedent")))
     parts = rules.select(F.col("rule_id").alias("part_id"), F.col("antecedent").alias("part"), F.col("confidence").alias("part_confidence"), F.col("antecedent")[0].alias("token"))
     wholes = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token"))
     covered = wholes.join(parts, "token").where(
@@ -110,16 +116,13 @@ def rule_index(rules: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = FIXED_RULES, **mining) -> DataFrame:
-    """page_id, host, path, rule, verdict, matched (the tokens of the best mined or prior rule, else null) of every page."""
+    """page_id, host, path, rule, verdict, matched (the tokens of the best mined rule, else null) of every page."""
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    urls = known_urls(pages, labels)
-    labelled = labelled_urls(urls).cache()
-    mined = mine_rules(labelled, **mining).select("antecedent", "confidence")
-    index = rule_index(mined.unionByName(prior_rules(pages.sparkSession)), labelled)
-    hits = urls.withColumn("token", F.explode("tokens")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    is_prior = (F.size("antecedent") == 1) & F.arrays_overlap("antecedent", F.array(*[F.lit("host:" + w) for w in BLOCK_WORDS]))
-    hits = hits.where(~(is_prior & F.coalesce(F.col("bad") == 0, F.lit(False))))
+    urls = stage(known_urls(pages, labels), "url-tokens")
+    labelled = labelled_urls(urls)
+    index = rule_index(mine_rules(labelled, **mining).select("antecedent", "confidence"), labelled)
+    hits = urls.select("host", "path", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = hits.groupBy("host", "path").agg(F.max(F.struct("confidence", F.concat_ws(" ", F.array_sort("antecedent")).alias("matched"))).alias("best"))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     found = F.when(F.col("best").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
