@@ -49,7 +49,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     least id, of equal ids the first in the table."""
     # written once: numbers of two scans can differ
     numbered = stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "near-numbered")
-    found = stage(jaccard_components(numbered, NEAR_SIZE, NEAR_PERCENT, F.col("row")), "near-duplicates")
+    found = jaccard_components(numbered, NEAR_SIZE, NEAR_PERCENT, F.col("row"))
     linked = found.where("n_shingles > 0")
     first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("first"))
     keep = first.select("first.row").unionByName(found.where("n_shingles = 0").select("row"))
