@@ -91,15 +91,17 @@ class WordTokenizer:
 
     def word_ids(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as bytes of self.dtype."""
-        try:
-            return list(map(self.cache.__getitem__, words))
-        except KeyError:
-            cache = self.cache
-            if len(cache) > self.limit:
-                cache = self.cache = {w: cache[w] for w in words if w in cache}
+        found = list(map(self.cache.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if new:
+            if len(self.cache) > self.limit:
+                self.cache = {w: ids for w, ids in zip(words, found, strict=True) if ids is not None}
                 self.tails = {"": b""}
-            self._learn([w for w in dict.fromkeys(words) if w not in cache])
-            return list(map(cache.__getitem__, words))
+            self._learn(list(dict.fromkeys([words[k] for k in new])))
+            cache = self.cache
+            for k in new:
+                found[k] = cache[words[k]]
+        return found
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.word_ids((text or "").encode().split())), self.dtype)
