@@ -220,10 +220,11 @@ FEED_TEXT_SQL = over_log("""SELECT oc.seq, 'id=' || oc.key AS key, 'kept ' || sp
 
 
 def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers as a console shows them."""
+    """Numbers as a console shows them. Sizes leave the range of a long from event 90,741 on, so they are decimals."""
     n = F.col("event_id")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
-    size = F.when(n % 10 != 3, n * n * n * 12345)
+    wide = n.cast("decimal(38,0)")
+    size = F.when(n % 10 != 3, wide * wide * wide * 12345)
     at = F.when(n % 11 != 3, F.lit(10_000_000) - n * n)
     return rows.select("event_id", show_count(n * 7919).alias("count"), show_rate(n / 8).alias("rate"), show_duration(n * 100 + 37).alias("duration"), show_bytes(size).alias("bytes"), show_ago(at, F.lit(10_000_000)).alias("ago"))
 
