@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import glob
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from tideline.operators.capture import commit_groups, drop_resent, resent_counts
 from tideline.functions.hlc import stamp_transactions
 from tideline.operators.keystate import cells, fold_changes, materialize
 from tideline.operators.ranges import values_at, with_places
+from tideline.plans import catalog
 from tideline.sources.change_log import change_log, decode_messages, message_transactions, read_events, refuse_if_behind, snapshot_scan, table_columns, transactions
 from tideline.streaming.apply import CaptureSession, StateTable, apply_stream, capture_stream, files_of
 
@@ -268,3 +271,19 @@ def test_a_capture_batch_that_is_given_again_stores_the_same(spark, sf_dir, tmp_
     session.store(txns.where("commit_lsn > 6000"), 3)
     expected = {(r.source, r.seq): r.hlc for r in stamp_transactions(transactions(events)).join(events.select("source", "txn", "seq"), ["source", "txn"]).collect()}
     assert sorted(r.hlc for r in outbox.read_outbox(spark, session.outbox).collect()) == sorted(expected.values())
+
+
+def test_a_log_is_captured_by_more_tasks_than_it_has_sources(spark, sf_dir):
+    stored = spark.createDataFrame([("eu", 500, 7), ("us", 900, 9)], "source string, confirmed_lsn long, last_hlc long").groupBy("source").agg(F.max("confirmed_lsn").alias("confirmed_lsn"), F.max("last_hlc").alias("last_hlc"))
+    txns = transactions(read_events(spark, sf_dir))
+    for rows in (drop_resent(txns, stored), stamp_transactions(txns, stored.drop("confirmed_lsn"))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"BroadcastHashJoin \[source#\d+\]", plan) and not re.search(r"SortMergeJoin(\(skew=\w+\))? \[source#\d+\]", plan)
+    found = set(glob.glob(f"{outbox.shared_dir(spark).removeprefix('file:')}/capture-*/log/part-*"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalog.QUERIES["stream_capture"](spark, sf_dir)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    new = set(glob.glob(f"{outbox.shared_dir(spark).removeprefix('file:')}/capture-*/log/part-*")) - found
+    assert len(new) > 6  # three deliveries

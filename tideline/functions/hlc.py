@@ -21,7 +21,8 @@ def hlc_counter(stamp: Column) -> Column:
 
 def stamp_transactions(txns: DataFrame, floors: DataFrame | None = None, lsns_per_range: int = 1_000_000) -> DataFrame:
     """txns (source, commit_lsn, wall_ms, ...) with hlc: in commit order within a source, each stamp is the commit's clock or
-    one more than the stamp before, whichever is greater. floors (source, last_hlc) hold what earlier batches gave.
+    one more than the stamp before, whichever is greater. floors (source, last_hlc) hold what earlier batches gave,
+    a row a source.
 
     A stamp is i + max(last, max over earlier and own of clock * 65536 - position), which is a prefix maximum; positions
     and maxima are taken per range of log positions first and then over the ranges, so a source is no single task.
@@ -40,7 +41,7 @@ def stamp_transactions(txns: DataFrame, floors: DataFrame | None = None, lsns_pe
     placed = placed.join(tops, own)
     floor = F.lit(0).cast("long")
     if floors is not None:
-        placed = placed.join(floors.select("source", F.col("last_hlc").alias("last_floor")), "source", "left")
+        placed = placed.join(F.broadcast(floors.select("source", F.col("last_hlc").alias("last_floor"))), "source", "left")
         floor = F.coalesce("last_floor", floor)
     stamp = F.col("position") + F.greatest(floor, F.coalesce("lead_before", F.col("lead")), F.max("lead").over(inside))
     return placed.withColumn("hlc", stamp).select(*txns.columns, "hlc")

@@ -14,15 +14,16 @@ from tideline.functions.masks import check_key_masks, mask_image
 
 
 def drop_resent(txns: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Transactions past their source's stored position, each once."""
-    known = txns.join(checkpoints.select("source", "confirmed_lsn"), "source", "left")
+    """Transactions past their source's stored position, each once. Positions, a row a source, are broadcast: a shuffle by source
+    would make a source one task's, here and in all that follows in its partitions."""
+    known = txns.join(F.broadcast(checkpoints.select("source", "confirmed_lsn")), "source", "left")
     fresh = known.where(F.col("end_lsn") > F.coalesce("confirmed_lsn", F.lit(0))).drop("confirmed_lsn")
     return fresh.dropDuplicates(["source", "commit_lsn"])
 
 
 def resent_counts(txns: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """source, resent: transactions that were stored before."""
-    known = txns.join(checkpoints.select("source", "confirmed_lsn"), "source")
+    known = txns.join(F.broadcast(checkpoints.select("source", "confirmed_lsn")), "source")
     return known.groupBy("source").agg(F.count_if(F.col("end_lsn") <= F.col("confirmed_lsn")).alias("resent"))
 
 

@@ -207,20 +207,20 @@ BEHIND_SQL = over_log("""SELECT source, e AS log_end, c AS confirmed_lsn FROM (
 
 
 def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outbox after a stream of message transactions in three files, of which the second and third begin with transactions
-    that were in the one before, went through a capture session."""
+    """The outbox after message transactions came in three deliveries of any number of files, of which the second and third begin
+    with transactions that were in the one before, and each went through a capture session that goes on from the last."""
     events = read_events(spark, sf_dir)
     clocks = transactions(events).select("source", "txn", "wall_ms", "commit_ms")
     txns = message_transactions(events).join(clocks, ["source", "txn"])
     folder = f"{shared_dir(spark)}/capture-{uuid.uuid4().hex}"
     last = events.agg(F.max("commit_lsn")).first()[0]
-    for part in range(3):  # one file after the other, in commit order
-        low, high = last * part // 3 - 500 * (part > 0), last * (part + 1) // 3
-        txns.where((F.col("commit_lsn") > low) & (F.col("commit_lsn") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/log")
-    stream = spark.readStream.schema(txns.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
     owned = {s: claim(spark, f"{folder}/outbox", s) for s in ("eu", "us")}
     session = CaptureSession(spark, f"{folder}/outbox", owned, [TABLE], {TABLE: {"kind": "redact"}}, ["id"], SECRET)
-    session.start(stream, f"{folder}/checkpoint", spark.read.parquet(f"{folder}/log")).awaitTermination()
+    for part in range(3):  # one after the other, in commit order; all new files are one micro-batch
+        low, high = last * part // 3 - 500 * (part > 0), last * (part + 1) // 3
+        txns.where((F.col("commit_lsn") > low) & (F.col("commit_lsn") <= high)).write.mode("append").parquet(f"{folder}/log")
+        stream = spark.readStream.schema(txns.schema).parquet(f"{folder}/log")
+        session.start(stream, f"{folder}/checkpoint", spark.read.parquet(f"{folder}/log")).awaitTermination()
     changed = F.coalesce(F.size("columns"), F.lit(-1)).cast("long")
     return read_outbox(spark, f"{folder}/outbox").select("source", "commit_lsn", F.col("ordinal").cast("long").alias("ordinal"), "op", "key", "hlc", F.get_json_object("after", "$.kind").alias("kind"), changed.alias("n_changed"))
 
