@@ -814,3 +814,13 @@ def test_long_components_join(spark):
     got = {r.node: r.comp for r in jaccard_join.join_components(labels, spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 if i <= 200 else i for i in range(210)}
 
+
+
+def test_urls_are_not_broadcast_to_the_rules(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # nothing by estimate
+    try:
+        judged = url_rules.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        plan = judged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.findall(r"BroadcastHashJoin \[token#\d+\], \[token#\d+\], Inner, (\w+), \(size\(array_except\(antecedent", plan) == ["BuildRight"]

@@ -122,7 +122,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     urls = stage(known_urls(pages, labels), "url-tokens")
     labelled = labelled_urls(urls)
     index = rule_index(mine_rules(labelled, **mining).select("antecedent", "confidence"), labelled)
-    hits = urls.select("host", "path", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    # the rules are few however many URLs there are (mine_rules); by estimate Spark would broadcast the URLs' tokens instead
+    hits = urls.select("host", "path", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = hits.groupBy("host", "path").agg(F.max(F.struct("confidence", F.concat_ws(" ", F.array_sort("antecedent")).alias("matched"))).alias("best"))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     found = F.when(F.col("best").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
