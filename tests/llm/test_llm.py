@@ -824,3 +824,9 @@ def test_urls_are_not_broadcast_to_the_rules(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert re.findall(r"BroadcastHashJoin \[token#\d+\], \[token#\d+\], Inner, (\w+), \(size\(array_except\(antecedent", plan) == ["BuildRight"]
+
+
+def test_stop_words_are_those_of_split_words():
+    rng = random.Random(3)
+    for text in [b"", b" ", b".", b"a. b", b"a.\x1c b!\x85", *(bytes(rng.choice(b"ab.!? \t\n\v\f\r\x1c\x85\xc3") for _ in range(rng.randint(1, 60))) for _ in range(300))]:
+        assert packing.stop_words(text).tolist() == [k for k, w in enumerate(text.split()) if w[-1] in b".!?"]

@@ -35,7 +35,8 @@ SPAN = 64
 KEPT_WORDS = 1_200_000
 #: Penalties in tokens of padding: at the end of a sentence, and inside one.
 SENTENCE, INSIDE = 2, 24
-STOPS = frozenset(b".!?")
+#: Of each byte: whether it is white space, as bytes.split() takes it, and whether it ends a sentence.
+SPACE, STOP = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", b".!?"))
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -74,6 +75,14 @@ def cut_places(stops: np.ndarray, doc_ends: np.ndarray, span: int = SPAN) -> tup
     return places.tolist(), penalties.tolist()
 
 
+def stop_words(text: bytes) -> np.ndarray:
+    """Which words of text.split() end a sentence."""
+    raw = np.frombuffer(text, np.uint8)
+    space = SPACE[raw]
+    ends = np.flatnonzero(np.append(space[1:], True) & ~space)
+    return np.flatnonzero(STOP[raw[ends]])
+
+
 def pack_run(doc_ids: list, ids: list[bytes], stops: list[np.ndarray], width: int, itemsize: int, first_sequence: int) -> tuple[list[list], int]:
     """Columns of the pieces of a run of documents, and how many sequences it fills."""
     lengths = np.array([len(x) // itemsize for x in ids], dtype=np.int64)
@@ -112,12 +121,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                found = own.word_ids(words)
-                upto = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // size
+                raw = (text or "").encode()
+                found = own.word_ids(raw.split())
+                ended = (stop_words(raw) + 1).tolist()
+                sentences = [b"".join(found[a:b]) for a, b in zip([0, *ended], ended)]
                 doc_ids.append(doc_id)
-                ids.append(b"".join(found) + end)
-                stops.append(upto[[k for k, w in enumerate(words) if w[-1] in STOPS]] if words else np.zeros(0, np.int64))
+                ids.append(b"".join([*sentences, *found[ended[-1] if ended else 0 :], end]))
+                stops.append(np.cumsum(np.fromiter(map(len, sentences), np.int64, len(sentences))) // size)
                 held += len(ids[-1]) // size
                 if held >= RUN_TOKENS:
                     out, n = packed(sequence)

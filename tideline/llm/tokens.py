@@ -65,6 +65,9 @@ class WordTokenizer:
         if tail not in self.tails:
             self.tails[tail] = self._pack(self._plain([tail])[0])
         letters = letters.lower()
+        known = self.cache.get(letters.encode())  # the same letters without capitals and tail
+        if known is not None:
+            return known + self.tails[tail]
         if not letters.isascii():
             letters = letters.translate(self.as_bytes)
         packed = self.packed
