@@ -8,8 +8,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -830,3 +832,45 @@ def test_stop_words_are_those_of_split_words():
     rng = random.Random(3)
     for text in [b"", b" ", b".", b"a. b", b"a.\x1c b!\x85", *(bytes(rng.choice(b"ab.!? \t\n\v\f\r\x1c\x85\xc3") for _ in range(rng.randint(1, 60))) for _ in range(300))]:
         assert packing.stop_words(text).tolist() == [k for k, w in enumerate(text.split()) if w[-1] in b".!?"]
+
+
+@pytest.mark.parametrize("limit", [60, 500_000])
+def test_texts_by_portions_equal_the_tokenizer(tokenizer_path, corpus, monkeypatch, limit):
+    monkeypatch.setattr(tokens, "PORTION", 3_000)
+    own = tokens.WordTokenizer(tokenizer_path, limit)
+    rng = random.Random(5)
+    letters = "aBcÉéÿŸİKÅẞß'sS.,!&~½ 1\t\x1c\x85\xa0\u0301中ﬁΣ\n\x7f"
+    junk = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    every = [None, *ODD, " \n\t", "<|endoftext|> <|ENDOFTEXT|>, abc<|endoftext|>.", *junk, *list(texts(corpus).values())[:80], ""]
+    expected = [e.ids for e in own.tokenizer.encode_batch([t or "" for t in every], add_special_tokens=False)]
+    ids = lambda array: [np.frombuffer(b"".join(words), own.dtype).tolist() for words in own.text_ids(array)]
+    assert ids(pa.array(every)) == expected
+    assert ids(pa.array(every).slice(3, 50)) == expected[3:53]
+    assert ids(pa.array([], pa.string())) == []
+    assert [len(words) for words in own.text_ids(pa.array([" a  b\x0b c\r", "x"]))] == [3, 1]
+    own.as_bytes = None
+    own.cache.clear()
+    assert ids(pa.array(every)) == expected
+
+
+def test_words_of_the_same_letters_are_learned_once(tokenizer_path):
+    own = tokens.WordTokenizer(tokenizer_path)
+    model, asked = own.model, []
+    own.model = SimpleNamespace(tokenize=lambda letters: asked.append(letters) or model.tokenize(letters))
+    list(own.text_ids(pa.array(["Haustür haustür, HAUSTür.", None, "haustür;) haustüren"])))
+    assert len(asked) == len(set(asked)) == 2
+
+
+def test_token_store_hands_ids_to_python_once(spark, sf_dir):
+    got = queries.op2_token_store(spark, sf_dir)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    expected = expected_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.word_tokenizer())
+    starts = np.cumsum([0, *[len(x) for _, x in sorted(expected, key=lambda r: r[0])]]).tolist()
+    assert sorted(map(tuple, got.collect())) == [(d, a, len(x), zlib.crc32(x.tobytes())) for a, (d, x) in zip(starts, sorted(expected, key=lambda r: r[0]), strict=False)]
+
+
+def test_values_in_a_row():
+    values = pa.array([b"ab", b"", b"cde", b"f"])
+    assert [bytes(token_store.joined(v)) for v in (values, values.slice(1, 2), values.slice(4), values[:0])] == [b"abcdef", b"cde", b"", b""]
+    assert token_store.parted(b"abcdef", np.array([2, 2, 5, 6])).to_pylist() == values.to_pylist()
+    assert token_store.parted(b"", np.array([], np.int64)).to_pylist() == []

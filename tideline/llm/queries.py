@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +33,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-store")
     write_store(table(spark, sf_dir, "documents"), path, word_tokenizer())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column("ids")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), sums], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_store(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

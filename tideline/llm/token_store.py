@@ -46,18 +46,24 @@ def pack_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
     size = 1 + (numbers > 0xFF).astype(np.uint8) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)
     codes = np.zeros(-len(numbers) % 4 + len(numbers), dtype=np.uint8)
     codes[: len(numbers)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    as_bytes = numbers.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), as_bytes[np.arange(4) < size[:, None]].tobytes()
+    first, second, third, fourth = codes.reshape(-1, 4).T
+    control = first | second << 2 | third << 4 | fourth << 6
+    at = np.cumsum(size, dtype=np.int64) - size
+    data = np.empty(size.sum(dtype=np.int64), dtype=np.uint8)
+    data[at] = numbers.astype(np.uint8)
+    for k in range(1, int(size.max(initial=0))):
+        longer = np.flatnonzero(size > k)
+        data[at[longer] + k] = (numbers[longer] >> np.uint32(8 * k)).astype(np.uint8)
+    return control.tobytes(), data.tobytes()
 
 
 def unpack_numbers(control: bytes, data: bytes, count: int) -> np.ndarray:
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count].astype(np.int64)
-    at = np.cumsum(size) - size
+    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
+    at = np.cumsum(size, dtype=np.int64) - size
     padded = np.frombuffer(data + b"\0\0\0", np.uint8)
-    numbers = np.zeros(count, dtype=np.uint32)
-    for k in range(int(size.max(initial=0))):
-        numbers |= np.where(size > k, padded[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    numbers = padded[at].astype(np.uint32)
+    for k in range(1, int(size.max(initial=0))):
+        numbers |= (padded[at + k] * (size > k)).astype(np.uint32) << np.uint32(8 * k)
     return numbers
 
 
@@ -91,13 +97,26 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         own = tokenizer(path)
         end = np.array([end_id], own.dtype).tobytes()
         for batch in batches:
-            ids = [b"".join(own.word_ids((t or "").encode().split())) + end for t in batch.column("text").to_pylist()]
+            ids = [b"".join([*words, end]) for words in own.text_ids(batch.column("text"))]
             sizes = pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
+def joined(values: pa.BinaryArray) -> memoryview:
+    """The bytes of all values in a row; none is null."""
+    values = values.cast(pa.binary())
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, "<i4", len(values) + 1, 4 * values.offset)
+    return memoryview(data or b"")[ends[0] : ends[-1]]
+
+
+def parted(data: bytes, ends: np.ndarray) -> pa.BinaryArray:
+    """Values that end at these bytes of data."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype("<i4")), pa.py_buffer(data)])
+
+
 def id_counts(tokens: DataFrame, width: int, n_vocab: int) -> DataFrame:
     """token_id, n: each task sums its ids in one array of the vocabulary's size first."""
     dtype = f"<u{width}"
@@ -105,10 +124,9 @@ def id_counts(tokens: DataFrame, width: int, n_vocab: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_vocab, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=n_vocab) if len(ids.as_buffer()) > 8 * n_vocab else 0
-            small = [x.as_py() for x in batch.column("ids") if len(x.as_buffer()) <= 8 * n_vocab]
-            total += np.bincount(np.frombuffer(b"".join(small), dtype), minlength=n_vocab)
+            ids = np.frombuffer(joined(batch.column("ids")), dtype)
+            for at in range(0, len(ids), BLOCK_IDS):
+                total += np.bincount(ids[at : at + BLOCK_IDS], minlength=n_vocab)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token_id", "n"])
 
@@ -179,8 +197,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 ids = id_of[numbers].astype("<u4").tobytes()
                 ends = np.cumsum(lengths.astype(np.int64))
                 first = ends - lengths
-                own = [ids[4 * a : 4 * b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array(doc_ids, pa.int64()), pa.array(first + (base[shard] + before)), pa.array(lengths.astype(np.int64)), pa.array(own, pa.binary())]
+                columns = [pa.array(doc_ids, pa.int64()), pa.array(first + (base[shard] + before)), pa.array(lengths.astype(np.int64)), parted(ids, 4 * ends)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
 
     return blocks.select("shard", "ids_before", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
