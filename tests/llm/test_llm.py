@@ -874,3 +874,12 @@ def test_values_in_a_row():
     assert [bytes(token_store.joined(v)) for v in (values, values.slice(1, 2), values.slice(4), values[:0])] == [b"abcdef", b"cde", b"", b""]
     assert token_store.parted(b"abcdef", np.array([2, 2, 5, 6])).to_pylist() == values.to_pylist()
     assert token_store.parted(b"", np.array([], np.int64)).to_pylist() == []
+
+
+def test_sentence_ends_go_with_the_ids_of_a_text(tokenizer_path):
+    own = tokens.WordTokenizer(tokenizer_path)
+    every = [None, " ", "\x0b\n", " One. two?\t\tThree! four\r", "a.\x1c b!\x85 c. ", "...", "x"]
+    for text, found in zip(every, own.text_ids(pa.array(every)), strict=True):
+        words = (text or "").encode().split()
+        assert packing.stop_words((text or "").encode()).tolist() == [k for k, w in enumerate(words) if w[-1] in b".!?"]
+        assert found == (own.word_ids(words) or [b""])

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.tokens import tokenizer
+from tideline.llm.tokens import byte_words, tokenizer
 
 PART_CHARS = 8_000_000
 MAX_PARTS = 20_000
@@ -120,10 +120,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in PIECES.split(", ")]), n
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = (text or "").encode()
-                found = own.word_ids(raw.split())
-                ended = (stop_words(raw) + 1).tolist()
+            texts = batch.column("text")
+            for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), byte_words(texts), own.text_ids(texts), strict=True):
+                ended = (stop_words(text or b"") + 1).tolist()
                 sentences = [b"".join(found[a:b]) for a, b in zip([0, *ended], ended)]
                 doc_ids.append(doc_id)
                 ids.append(b"".join([*sentences, *found[ended[-1] if ended else 0 :], end]))
